@@ -18,11 +18,11 @@ TOLERANCE = 0.02
 #: ... of so many.
 WIDTH = 20
 #: Side of a cell; values in one cell make the same shingle.
-CELL = 0.2
+CELL = 0.1
 #: Slots of the fixed-size histogram that finds hot buckets, and the rows beyond which a slot is hot.
 SLOTS, HOT = 1 << 16, 4096
 #: Candidate pairs are broadcast up to so many rows (16 bytes each), else joined by shuffle.
-BROADCAST_PAIRS = 2_000_000
+BROADCAST_PAIRS = 1_000_000
 #: Rounding of decimals stored as doubles.
 _EPS = 1e-9
 
