@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagmeter.functions.text import canonical_id, known_id, plain_name, strip_blanks
-from bagmeter.llm import groups, near_copies, quantiles, quota, topn
+from bagmeter.llm import groups, leaks, near_copies, quality, quantiles, quota, tokens, topn
 from bagmeter.llm.sql import SQL  # noqa: F401
 from bagmeter.sources.tables import table
 
@@ -200,9 +200,57 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- 7: token ids ------------------------------------------------------------------------
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_ids(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "ids")
+
+
+# ---- 8: evaluation texts in the corpus ---------------------------------------------------
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "item_text")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return leaks.without_leaks(docs, "doc_id", _leaks(spark, sf_dir)).select("doc_id", "source")
+
+
+# ---- 9: text quality ---------------------------------------------------------------------
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.no_prose(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "common_words")).select("doc_id")
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common = quality.common_by_language(table(spark, sf_dir, "common_words"))
+    return quality.text_stats(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", common)
+
+
+def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir).select(F.col("id").alias("doc_id"), "lang", *(F.round(c, 9).alias(c) for c in quality.TAILS))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.outlier_scores(_stats(spark, sf_dir)).select(F.col("id").alias("doc_id"), "lang", "score")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_percentiles, p3_merged_days, p4_found, p4_splits, p5_found,
+        p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_percentiles, p3_merged_days, p4_found, p4_splits,
+        p5_found, p7_ids, p8_found, p8_longest, p8_clean, p9_found, p9_stats, p9_scores,
     )
 }

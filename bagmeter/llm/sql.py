@@ -81,4 +81,20 @@ with means as (
 select run_id, protocol, bag_size, place, quantifier from (
   select *, row_number() over (partition by run_id, protocol, bag_size order by mae_mean, quantifier)::int as place from means
 ) where place <= 5""",
+    "p8_found": """
+with item_words as (
+  select item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') as w from eval_items where item_text is not null
+),
+item_grams as (
+  select distinct item_id, array_to_string(w[i : i + 11], ' ') as gram
+  from (select item_id, w, unnest(range(1, len(w) - 10)) as i from item_words)
+),
+doc_words as (
+  select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null
+),
+doc_grams as (
+  select doc_id, array_to_string(w[i : i + 11], ' ') as gram
+  from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from doc_words)
+)
+select distinct doc_id, item_id from doc_grams join item_grams using (gram)""",
 }
