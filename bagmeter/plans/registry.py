@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("problems",)
+_MODULES = ("problems", "protocols", "quantify")
 
 
 def _merged(what: str) -> dict:
