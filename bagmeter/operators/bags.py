@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagmeter.config import CLINICAL, LABELS, BagConfig
+from bagmeter.functions.ranks import ranked
 from bagmeter.functions.rng import uniform
 
 BAG = ["bag_size", "bag_index"]
@@ -91,26 +92,9 @@ def app_truth(bags: DataFrame, seed: int = 7, positive: int = 1) -> DataFrame:
     )
 
 
-#: Buckets into which the ranking of a class is cut.
-RANK_BUCKETS = 64
-
-
-def ranked(pool: DataFrame, label: str, unit: str) -> DataFrame:
-    """``label``, ``unit``, ``rank``, ``pool_n``: dense ranks from 0 in the order of ``unit`` within each class.
-
-    Ranges of ``unit`` are ranked apart and shifted by the rows of earlier ranges, so a class
-    with most of the rows isn't ranked in one task.
-    """
-    span = pool.agg(F.min(unit).alias("_lo"), F.max(unit).alias("_hi")).first()
-    lo, hi = (span["_lo"] or 0), (span["_hi"] or 0)
-    width = max(1, (hi - lo) // RANK_BUCKETS + 1)
-    placed = pool.select(label, unit).withColumn("_b", F.floor((F.col(unit) - F.lit(lo)) / F.lit(width)).cast("int"))
-    counts = placed.groupBy(label, "_b").agg(F.count("*").alias("_n"))
-    whole = Window.partitionBy(label)
-    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(label, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"), F.sum("_n").over(whole).alias("pool_n"))
-    at = F.row_number().over(Window.partitionBy(label, "_b").orderBy(unit)) - 1
-    return placed.withColumn("_at", at).join(shifts, [label, "_b"]).select(label, unit, (F.col("_at") + F.col("_s")).alias("rank"), "pool_n")
+def ranked_pool(pool: DataFrame, label: str, unit: str) -> DataFrame:
+    """``label``, ``unit``, ``rank``, ``pool_n``: dense ranks from 0 in the order of ``unit`` within each class."""
+    return ranked(pool.select(label, unit), [label], F.col(unit), [], "rank", "pool_n")
 
 
 def members(truth: DataFrame, pool: DataFrame, unit: str, seed: int = 7) -> DataFrame:
@@ -118,7 +102,7 @@ def members(truth: DataFrame, pool: DataFrame, unit: str, seed: int = 7) -> Data
 
     ``pool``: ``label`` and ``unit``, one row per instance. A class that is asked for and has no pool raises an error.
     """
-    ranks = ranked(pool, "label", unit)
+    ranks = ranked_pool(pool, "label", unit)
     sizes = ranks.groupBy("label").agg(F.max("pool_n").alias("pool_n"))
     wanted = truth.where("n > 0")
     lost = [r["label"] for r in wanted.select("label").distinct().join(sizes, "label", "left_anti").limit(100).collect()]

@@ -228,18 +228,18 @@ picks as (
   from bags, bands where from_w <= {uniform_sql(SEED, "'z'", 'label', 'bag_size', 'bag_index')} and {uniform_sql(SEED, "'z'", 'label', 'bag_size', 'bag_index')} < to_w
 )"""
 _CAPP = f"""{_PICKS},
-scaled as (
+capp_scaled as (
   select bag_size, bag_index, label, zone, case when sum(p_raw) over bag > 1 then p_raw / sum(p_raw) over bag else p_raw end as p
   from picks window bag as (partition by bag_size, bag_index)
 ),
-shares as (
-  select * from scaled union all
-  select bag_size, bag_index, 'N', null, greatest(0.0::double, 1 - sum(p)) from scaled group by bag_size, bag_index
+capp_shares as (
+  select * from capp_scaled union all
+  select bag_size, bag_index, 'N', null, greatest(0.0::double, 1 - sum(p)) from capp_scaled group by bag_size, bag_index
 ),
-floors as (select *, floor(p * bag_size) as fl, p * bag_size - floor(p * bag_size) as frac from shares),
+capp_floors as (select *, floor(p * bag_size) as fl, p * bag_size - floor(p * bag_size) as frac from capp_shares),
 capp as (
   select bag_size, bag_index, label, zone, (fl + (row_number() over (partition by bag_size, bag_index order by frac desc, label desc)
-    <= bag_size - sum(fl) over (partition by bag_size, bag_index))::int)::int as n from floors
+    <= bag_size - sum(fl) over (partition by bag_size, bag_index))::int)::int as n from capp_floors
 )"""
 _APP = f"""
 app_bags as (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("problems", "protocols", "quantify")
+_MODULES = ("problems", "protocols", "quantify", "reporting", "windows")
 
 
 def _merged(what: str) -> dict:
