@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("problems", "protocols", "quantify", "reporting", "windows")
+_MODULES = ("problems", "protocols", "quantify", "reporting", "windows", "learned")
 
 
 def _merged(what: str) -> dict:
