@@ -73,9 +73,10 @@ def ranked_pool(rows: DataFrame, leaf: list[str], unit: str, seed: int = 0) -> D
 
     Leaves are cut into buckets by the random number that orders their units; buckets
     are ranked apart and shifted by the units in buckets before, so no task holds a
-    whole leaf, even one with a third of all rows. Units of a leaf count once.
+    whole leaf, even one with a third of all rows. Units of a leaf count once,
+    null units not at all.
     """
-    units = rows.select(*leaf, unit).distinct()
+    units = rows.select(*leaf, unit).where(F.col(unit).isNotNull()).distinct()
     buckets = min(MOST_BUCKETS, 1 + units.count() // RANK_BUCKET)
     order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(unit)), 11)
     placed = units.withColumn("_order", order).withColumn("_bucket", F.floor(order / F.lit(float(2**53)) * buckets).cast("int"))

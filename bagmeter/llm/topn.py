@@ -32,7 +32,8 @@ def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int,
 
     Null and NaN scores are left out, infinite ones are ordinary values; repeated rows count
     once; null group keys are groups and null ties come first. Groups with fewer rows
-    come out whole. Columns called _rank... must not be in ``df``. No input gives no rows.
+    come out whole. Names that begin with _rank are reserved; a column of ``df`` called place is
+    replaced. No input gives no rows.
     """
     s = F.col(score)
     rows = stage(df.where(s.isNotNull() & ~F.isnan(s)).withColumn(score, s + F.lit(0.0)).dropDuplicates(), "topn-rows")
@@ -58,7 +59,7 @@ def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int,
         .where(F.col("_rank_at") <= n)
     )
     return (
-        first.withColumn("place", F.row_number().over(group.orderBy(*order)))
-        .where(F.col("place") <= n)
-        .select(*df.columns, "place")
+        first.withColumn("_rank_place", F.row_number().over(group.orderBy(*order)))
+        .where(F.col("_rank_place") <= n)
+        .select(*(c for c in df.columns if c != "place"), F.col("_rank_place").alias("place"))
     )
