@@ -97,10 +97,13 @@ def fit_temperature(df: DataFrame, p: str, true_index: Column, grid: int = 15) -
     lo, hi = math.log(0.05), math.log(20.0)
     best = 0.0
     for _ in range(5):
-        tried = np.linspace(lo, hi, grid)
-        losses = [F.avg(-F.log(F.greatest(F.element_at(tempered(F.col(p), math.exp(t)), true_index), F.lit(1e-15)))).alias(f"l{i}") for i, t in enumerate(tried)]
-        row = df.agg(*losses).first()
-        i = min(range(grid), key=lambda i: row[f"l{i}"] if row[f"l{i}"] is not None else math.inf)
+        tried = [float(t) for t in np.linspace(lo, hi, grid)]
+        each = df.select(F.col(p).alias("_p"), true_index.alias("_i"), F.posexplode(F.array(*map(F.lit, tried))).alias("_at", "_t"))
+        powers = F.transform("_p", lambda x: F.pow(F.greatest(x, F.lit(EDGE)), F.exp(-F.col("_t"))))
+        each = each.select("_at", "_i", powers.alias("_w"))
+        share = F.element_at("_w", F.col("_i")) / F.aggregate("_w", F.lit(0.0), lambda s, x: s + x)
+        losses = {r["_at"]: r["l"] for r in each.groupBy("_at").agg(F.avg(-F.log(F.greatest(share, F.lit(1e-15)))).alias("l")).collect()}
+        i = min(range(grid), key=lambda i: losses.get(i, math.inf))
         best, width = tried[i], (hi - lo) / (grid - 1)
         lo, hi = best - width, best + width
     return math.exp(best)
