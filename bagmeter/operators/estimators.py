@@ -32,7 +32,8 @@ def class_table(df: DataFrame) -> DataFrame:
 
 
 def clip(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """``c`` within [0, 1]; null stays null (greatest and least alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def adjusted(raw: Column, high: Column, low: Column) -> Column:

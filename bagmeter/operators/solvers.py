@@ -25,8 +25,13 @@ def least_squares(c: np.ndarray, q: np.ndarray, start: np.ndarray | None = None,
     look, momentum = p, 1.0
     for _ in range(rounds):
         fresh = to_simplex(look - step * (gram @ look - target))
-        if np.abs(fresh - p).max() < tolerance and momentum > 1:
-            return fresh
+        if np.abs(fresh - p).max() < tolerance:
+            # settled only if a plain step from here stays here; else the momentum had overshot
+            plain = to_simplex(fresh - step * (gram @ fresh - target))
+            if np.abs(plain - fresh).max() < tolerance:
+                return fresh
+            look, momentum, p = plain, 1.0, plain
+            continue
         grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         look, momentum, p = fresh + (momentum - 1) / grown * (fresh - p), grown, fresh
     return p

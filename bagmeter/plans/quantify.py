@@ -261,7 +261,7 @@ pcc as (select protocol, bag_size, bag_index, label, avg(p) as raw from bags gro
 
 
 def _adjusted(raw: str, high: str, low: str) -> str:
-    return f"coalesce(greatest(0.0::double, least(1.0::double, ({raw} - {low}) / nullif({high} - {low}, 0))), {raw})"
+    return f"case when {high} <> {low} then greatest(0.0::double, least(1.0::double, ({raw} - {low}) / ({high} - {low}))) else {raw} end"
 
 
 _ROC = f"""{BAGS_SQL},
