@@ -13,17 +13,21 @@ def mean(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 
 
+def _with(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once per row, not once per element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def zscore(a: Column) -> Column:
     """(x - mean) / (population deviation + 1e-8)."""
-    centred = F.transform(a, lambda x: x - mean(a))
-    spread = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x) / F.size(a))
-    return F.transform(centred, lambda x: x / (spread + EPSILON))
+    centred = _with(mean(a), lambda m: F.transform(a, lambda x: x - m))
+    spread = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x) / F.size(c))
+    return _with(centred, lambda c: _with(spread(c) + EPSILON, lambda d: F.transform(c, lambda x: x / d)))
 
 
 def minmax(a: Column) -> Column:
     """(x - min) / (max - min + 1e-8)."""
-    lo = F.array_min(a)
-    return F.transform(a, lambda x: (x - lo) / (F.array_max(a) - lo + EPSILON))
+    return _with(F.array_min(a), lambda lo: _with(F.array_max(a) - lo + EPSILON, lambda d: F.transform(a, lambda x: (x - lo) / d)))
 
 
 def pad(a: Column, width: int) -> Column:

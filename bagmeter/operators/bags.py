@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bagmeter.config import CLINICAL, LABELS, BagConfig
 from bagmeter.functions.ranks import ranked
 from bagmeter.functions.rng import uniform
+from bagmeter.sources.scratch import stage
 
 BAG = ["bag_size", "bag_index"]
 
@@ -102,7 +103,7 @@ def members(truth: DataFrame, pool: DataFrame, unit: str, seed: int = 7) -> Data
 
     ``pool``: ``label`` and ``unit``, one row per instance. A class that is asked for and has no pool raises an error.
     """
-    ranks = ranked_pool(pool, "label", unit)
+    ranks = stage(ranked_pool(pool, "label", unit), "pool")  # read for the sizes and for the draws
     sizes = ranks.groupBy("label").agg(F.max("pool_n").alias("pool_n"))
     wanted = truth.where("n > 0")
     lost = [r["label"] for r in wanted.select("label").distinct().join(sizes, "label", "left_anti").limit(100).collect()]

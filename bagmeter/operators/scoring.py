@@ -7,14 +7,18 @@ of MLlib classifiers; both score the training rows out of fold.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bagmeter.config import LABELS
+from bagmeter.sources.scratch import stage
 
 #: Values of a whole feature list.
 WIDTH = 20
@@ -36,7 +40,8 @@ def centroids(train: DataFrame, labels: tuple[str, ...] = LABELS, width: int = W
     is the sum over the other folds. A label without rows has no centroid in that model.
     """
     sums = [F.sum(F.element_at("features", i + 1)).alias(f"s{i}") for i in range(width)]
-    per_fold = train.where(F.col("y").isin(*labels)).groupBy("fold", "y").agg(F.count("*").alias("n"), *sums)
+    # one row per fold and label, written once: read for the list of folds and for the sums
+    per_fold = stage(train.where(F.col("y").isin(*labels)).groupBy("fold", "y").agg(F.count("*").alias("n"), *sums), "sums")
     columns = ["n", *(f"s{i}" for i in range(width))]
     folds = [r["fold"] for r in per_fold.select("fold").where("fold is not null").distinct().limit(MOST_MODELS).collect()]
     models = F.explode(F.array(F.lit(ALL), *(F.lit(f) for f in sorted(folds))))
@@ -58,28 +63,39 @@ def centroid_scores(rows: DataFrame, models: DataFrame, labels: tuple[str, ...]
     """``rows`` with ``p`` and ``pred``: a softmax of half the negative squared distances to the centroids.
 
     A training row is scored by the model without its fold, any other row by the whole
-    model. The models are few and joined by broadcast; nothing is shuffled. ``pred`` is the first
-    label with the greatest score. Stored scores have ``digits`` decimals.
+    model; a training row without a model of its fold is left out. The models are few, so they
+    go to the tasks with the function; nothing is shuffled. ``pred`` is the first label with the
+    greatest score, a label without a centroid has score 0. Stored scores have ``digits`` decimals.
     """
-    n = models.count()
-    if n * len(labels) > MOST_MODELS:
+    known = models.limit(MOST_MODELS + 1).collect()
+    if len(known) * len(labels) > MOST_MODELS:
         raise ValueError(f"more than {MOST_MODELS} centroids")
-    wanted = F.when(F.col("split") == "train", F.col("fold")).otherwise(F.lit(ALL))
-
-    def distance(c: Column) -> Column:
-        return F.aggregate(F.zip_with("features", c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-
-    scored = rows.withColumn("_fold", wanted).join(F.broadcast(models.withColumnRenamed("fold", "_fold")), "_fold")
-    scored = scored.withColumn("_w", F.transform("model", lambda m: F.struct(m["label"].alias("label"), F.exp(distance(m["c"]) * F.lit(-0.5)).alias("w"))))
-    total = F.aggregate("_w", F.lit(0.0), lambda s, m: s + m["w"])
-
-    def share(label: str) -> Column:
-        mine = F.filter("_w", lambda m: m["label"] == label)
-        value = F.aggregate(mine, F.lit(0.0), lambda s, m: s + m["w"]) / F.col("_total")
-        return F.round(value, digits) if digits is not None else value
-
-    out = scored.withColumn("_total", total).withColumn("p", F.array(*(share(label) for label in labels)))
-    return out.withColumn("pred", argmax("p", labels)).drop("_fold", "model", "_w", "_total")
+    by_fold = {r["fold"]: {m["label"]: np.array(m["c"]) for m in r["model"]} for r in known}
+    schema = T.StructType([*rows.schema.fields, T.StructField("p", T.ArrayType(T.DoubleType())), T.StructField("pred", T.StringType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = np.array(batch.column("split").to_pylist(), dtype=object)
+            fold = batch.column("fold").fill_null(ALL - 1).to_numpy(zero_copy_only=False)
+            wanted = np.where(split == "train", fold, ALL)
+            kept = np.flatnonzero(np.isin(wanted, list(by_fold)))
+            if not len(kept):
+                continue
+            batch, wanted = batch.take(pa.array(kept)), wanted[kept]
+            x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(len(kept), -1)
+            w = np.zeros((len(kept), len(labels)))
+            for f, model in by_fold.items():
+                mine = np.flatnonzero(wanted == f)
+                for i, label in enumerate(labels):
+                    if label in model:
+                        w[mine, i] = np.exp(-0.5 * ((x[mine] - model[label]) ** 2).sum(axis=1))
+            p = w / w.sum(axis=1, keepdims=True)
+            p = p if digits is None else np.round(p, digits)
+            names = pa.array([labels[i] for i in p.argmax(axis=1)], pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(labels)), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists, names], [*batch.schema.names, "p", "pred"])
+
+    return rows.mapInArrow(score, schema)
 
 
 def argmax(p: str, labels: tuple[str, ...] = LABELS) -> Column:

@@ -12,6 +12,7 @@ from bagmeter.functions.zones import find_zone, zone_sql
 from bagmeter.operators import bags, labels, metrics, stats
 from bagmeter.operators import scoring
 from bagmeter.plans.quantify import SCORES_SQL, scores
+from bagmeter.sources.scratch import stage
 from bagmeter.sources.tables import table
 
 SEED = CLINICAL.seed
@@ -175,7 +176,7 @@ def capp_cc_summary(spark, sf_dir):
     parts = F.array(*(F.struct(F.lit(x).alias("label"), F.col(x).alias("p_pred")) for x in LABELS))
     guess = wide.select("bag_size", "bag_index", F.explode(parts).alias("e")).select("bag_size", "bag_index", "e.label", "e.p_pred")
     true = truth.select("bag_size", "bag_index", "label", F.col("prevalence").alias("p_true"))
-    both = guess.join(true, ["bag_size", "bag_index", "label"])
+    both = stage(guess.join(true, ["bag_size", "bag_index", "label"]), "evaluated")  # read by both errors
     errors = metrics.absolute_error(both, bags.BAG).join(metrics.zone_crossing_error(both, bags.BAG), bags.BAG)
     out = stats.summary(errors.withColumnRenamed("ae", "mae"), ["bag_size"], ["mae", "zce"])
     return out.select("bag_size", *(F.round(c, 9).alias(c) for c in out.columns[1:]))

@@ -125,7 +125,7 @@ def forman_mm(spark, sf_dir):
 def _evaluated(spark, sf_dir) -> DataFrame:
     """True and estimated prevalence (classify and count, rounded) of each bag and label."""
     long = _inputs(spark, sf_dir)[0]
-    return long.groupBy(*BAG, "label").agg(F.avg("is_true").alias("p_true"), F.avg("is_pred").alias("p_pred"))
+    return stage(long.groupBy(*BAG, "label").agg(F.avg("is_true").alias("p_true"), F.avg("is_pred").alias("p_pred")), "evaluated")
 
 
 def bag_truth(spark, sf_dir):
