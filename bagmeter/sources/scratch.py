@@ -14,7 +14,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
-_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,10 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[key]}"
 
 
+def _place(spark: SparkSession, path: str):
+    """The file system and path object of a scratch table."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody else uses."""
+    """A path in the shared folder that nobody else uses; it is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN[path] = spark
+    files, target = _place(spark, path)
+    files.mkdirs(target)
+    files.deleteOnExit(target)
     return path
 
 
@@ -48,7 +55,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the table read from there."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -59,20 +66,5 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_scratch_path", None)
         if path:
-            _delete(path, df.sparkSession)
-
-
-def _delete(path: str, spark: SparkSession) -> None:
-    _WRITTEN.pop(path, None)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for path, spark in list(_WRITTEN.items()):
-        try:
-            _delete(path, spark)
-        except Exception:  # noqa: BLE001  the session has ended; its folder is cleared with it
-            _WRITTEN.pop(path, None)
+            files, target = _place(df.sparkSession, path)
+            files.delete(target, True)
