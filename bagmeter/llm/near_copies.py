@@ -77,7 +77,7 @@ def _bucket_rows(hot: frozenset[int] | None):
                 continue
             flat = batch.column("features").flatten()
             x = np.array(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, WIDTH)
-            ids, probing = batch.column("id").to_numpy(), np.asarray(batch.column("probe").to_numpy(zero_copy_only=False))
+            hashes, probing = batch.column("h").to_numpy(), np.asarray(batch.column("probe").to_numpy(zero_copy_only=False))
             out_rows, out_keys = [], []
             for probe in (False, True):
                 some = np.flatnonzero(probing == probe)
@@ -91,7 +91,13 @@ def _bucket_rows(hot: frozenset[int] | None):
                         out_rows.append(r)
                         out_keys.append(k)
             rows, keys = np.concatenate(out_rows), np.concatenate(out_keys).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[rows]), pa.array(probing[rows])], ["key", "id", "probe"])
+            # equal vectors of a batch come once to each bucket
+            order = np.lexsort((probing[rows], hashes[rows], keys))
+            rows, keys = rows[order], keys[order]
+            fresh = np.ones(len(rows), bool)
+            fresh[1:] = (keys[1:] != keys[:-1]) | (hashes[rows[1:]] != hashes[rows[:-1]]) | (probing[rows[1:]] != probing[rows[:-1]])
+            rows, keys = rows[fresh], keys[fresh]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes[rows]), pa.array(probing[rows])], ["key", "h", "probe"])
 
     return buckets
 
@@ -102,7 +108,10 @@ def comparable(rows: DataFrame, unit: str, split: str, features: str, train: str
     flat = F.forall(values, lambda v: v.isNotNull() & (v == F.element_at(values, 1)))
     return (
         rows.where(F.col(split).isin(train, *others) & F.col(unit).isNotNull() & (F.size(values) == WIDTH) & ~F.coalesce(flat, F.lit(False)))
-        .select(F.col(unit).cast("long").alias("id"), F.col(split).isin(*others).alias("probe"), values.alias("features"))
+        .select(
+            F.col(unit).cast("long").alias("id"), F.col(split).isin(*others).alias("probe"), values.cast("array<double>").alias("features"),
+            F.xxhash64(values).alias("h"),
+        )
     )
 
 
@@ -113,9 +122,9 @@ def _agreeing(a: Column, b: Column) -> Column:
 
 
 def _attach(pairs: DataFrame, vectors: DataFrame, of: str, n_pairs: int) -> DataFrame:
-    """``pairs`` with the vector of column ``of``; the pairs are broadcast only if they are few."""
+    """``pairs`` with the ids and vectors behind the hash ``of``_h; the pairs are broadcast only if they are few."""
     side = F.broadcast(pairs) if n_pairs <= BROADCAST_PAIRS else pairs
-    return vectors.select(F.col("id").alias(of), F.col("features").alias(f"{of}_features")).join(side, of)
+    return vectors.select(F.col("h").alias(f"{of}_h"), F.col("id").alias(f"{of}_id"), F.col("features").alias(f"{of}_features")).join(side, f"{of}_h")
 
 
 def near_copies(rows: DataFrame, unit: str, split: str, features: str, train: str, others: list[str]) -> DataFrame:
@@ -127,29 +136,29 @@ def near_copies(rows: DataFrame, unit: str, split: str, features: str, train: st
     positions, and the rows that probe also take the neighbouring cells near a border,
     so every true pair meets in a bucket. Buckets in hot slots are cut finer by a
     second band of the other positions, which loses nothing either. Only pairs of a
-    training row and another row are formed; each is checked on the exact values:
-    agreement m of 20 is an exact Jaccard similarity of m / (40 - m).
+    training row and another row are formed. Buckets hold hashes of whole vectors, so copies of
+    one vector, however many, are one entry; they are told apart when a pair is checked on the exact
+    values: agreement m of 20 is an exact Jaccard similarity of m / (40 - m).
 
-    A null or NaN agrees with nothing; lists of another length, null lists and vectors of equal values have no pair; rows delivered more than
-    once count once; no input gives no rows. Other columns aren't read.
+    A null or NaN agrees with nothing; lists of another length, null lists and vectors of equal
+    values have no pair; rows delivered more than once count once; no input gives no rows. Other columns aren't read.
     """
-    spark = rows.sparkSession
     vectors = comparable(rows, unit, split, features, train, others)
-    once = "key long, id long, probe boolean"
-    first = vectors.mapInArrow(_bucket_rows(None), once)
+    once = "key long, h long, probe boolean"
+    first = vectors.select("h", "probe", "features").mapInArrow(_bucket_rows(None), once)
     # at most SLOTS rows reach the driver, whatever the input
     slots = first.groupBy(F.pmod(F.col("key"), F.lit(SLOTS)).cast("int").alias("slot")).count().where(F.col("count") > HOT)
     hot = frozenset(r["slot"] for r in slots.select("slot").collect())
-    keyed = vectors.mapInArrow(_bucket_rows(hot), once) if hot else first
-    left = keyed.where("not probe").select("key", F.col("id").alias("train_id"))
-    right = keyed.where("probe").select("key", F.col("id").alias("other_id"))
-    pairs = stage(left.join(right, "key").select("train_id", "other_id").distinct(), "near-pairs")
+    keyed = vectors.select("h", "probe", "features").mapInArrow(_bucket_rows(hot), once) if hot else first
+    left = keyed.where("not probe").select("key", F.col("h").alias("train_h"))
+    right = keyed.where("probe").select("key", F.col("h").alias("other_h"))
+    pairs = stage(left.join(right, "key").select("train_h", "other_h").distinct(), "near-pairs")
     n = pairs.count()
-    with_train = _attach(pairs, vectors.where("not probe"), "train_id", n)
-    with_other = _attach(pairs, vectors.where("probe"), "other_id", n)
+    with_train = _attach(pairs, vectors.where("not probe"), "train", n)
+    with_other = _attach(pairs, vectors.where("probe"), "other", n)
     checked = (
-        with_train.join(with_other, ["train_id", "other_id"])
-        .withColumn("agree", _agreeing(F.col("train_id_features"), F.col("other_id_features")))
+        with_train.join(with_other, ["train_h", "other_h"])
+        .withColumn("agree", _agreeing(F.col("train_features"), F.col("other_features")))
         .where(F.col("agree") >= AGREE)
         .select("train_id", "other_id", "agree", (F.col("agree") / (2 * WIDTH - F.col("agree"))).alias("jaccard"))
     )

@@ -60,3 +60,10 @@ def test_flat_short_null_and_repeated_rows(spark):
     rows += [(5, "test", a[:19], 0, ""), (6, "test", None, 0, ""), (7, "test", [], 0, ""), (None, "test", a, 0, ""), (8, "test", [None] * 20, 0, "")]
     assert _found(spark, rows) == {(1, 2)}
     assert _found(spark, []) == set()
+
+
+def test_many_copies_of_one_vector(spark):
+    a = [i / 7 for i in range(20)]
+    b = [v + 0.01 for v in a]
+    rows = [(i, "train", a, 0, "") for i in range(400)] + [(1000 + i, "test", b, 0, "") for i in range(3)] + [(2000 + i, "train", b, 0, "") for i in range(5)]
+    assert _found(spark, rows) == {(t, o) for t in [*range(400), *range(2000, 2005)] for o in range(1000, 1003)}
