@@ -165,7 +165,7 @@ def _presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, patients, links, _ = _record_graph(spark, sf_dir)
     components = groups.grow_components(None, nodes, patients.unionByName(links))
-    torn = groups.in_conflict(groups.component_splits(components, _presence(spark, sf_dir))).select("root")
+    torn = groups.small(groups.in_conflict(groups.component_splits(components, _presence(spark, sf_dir))).select("root"))
     return (
         components.join(nodes.distinct(), "node", "left_semi")
         .join(torn, "root")

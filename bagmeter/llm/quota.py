@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bagmeter.sources.scratch import stage
+
 #: Rows per salt bucket when a leaf's pool is ranked.
 RANK_BUCKET = 50_000
+#: The leaves' supply is broadcast up to so many rows.
+BROADCAST_LEAVES = 200_000
 #: Most salt buckets of one leaf.
 MOST_BUCKETS = 65_536
 #: Primes above any pool size; steps through a pool of n ranks visit every rank once.
@@ -30,7 +34,9 @@ def allocate(quotas: DataFrame, supply: DataFrame, sample: list[str], pool: list
     """
     leaf = path[-1]
     asked = quotas.groupBy(*sample, *pool, *path).agg(F.coalesce(F.sum("quota"), F.lit(0)).alias("quota"))
-    held = supply.groupBy(*pool, *path).agg(F.sum("available").alias("available"))
+    held = stage(supply.groupBy(*pool, *path).agg(F.sum("available").alias("available")), "supply")
+    if held.count() <= BROADCAST_LEAVES:  # else AQE splits pools that many samples ask
+        held = F.broadcast(held)
     samples = asked.select(*sample, *pool).distinct()
     lent = samples.join(held, pool).withColumn("quota", F.lit(0))
     nodes = (
