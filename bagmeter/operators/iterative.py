@@ -102,16 +102,7 @@ def emq(train: DataFrame, bags: DataFrame, keys: list[str], labels: tuple[str, .
     counted = bags.groupBy(*keys, "p").agg(F.count("*").alias("n"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        scores, n = np.vstack(pdf["p"].to_list()), pdf["n"].to_numpy(dtype=float)
-        p, safe = prior.copy(), np.maximum(prior, 1e-12)
-        for _ in range(1000):
-            weighted = scores * (p / safe)
-            weighted /= np.maximum(weighted.sum(axis=1, keepdims=True), 1e-300)
-            fresh = n @ weighted / n.sum()
-            done = np.abs(fresh - p).max() < 1e-8
-            p = fresh
-            if done:
-                break
+        p = solvers.expectation_maximization(np.vstack(pdf["p"].to_list()), prior, pdf["n"].to_numpy(dtype=float))
         return pd.DataFrame({**dict(zip(keys, key)), "label": list(labels), "p_pred": p})
 
     return counted.groupBy(*keys).applyInPandas(run, schema)

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,6 +123,7 @@ CLASSIFIERS: dict[str, Callable[[], object]] = {
     "GB": lambda: GBTClassifier(maxIter=10, maxDepth=3, stepSize=0.1, seed=7),
     "SVM": lambda: LinearSVC(maxIter=30, regParam=1e-3),
     "NB": lambda: NaiveBayes(modelType="gaussian"),
+    "Ridge": lambda: LinearRegression(regParam=1e-2, elasticNetParam=0.0),
 }
 
 
@@ -130,7 +132,9 @@ def _fit(kind: str, train: DataFrame):
 
 
 def _positive(df: DataFrame) -> Column:
-    """The score of the positive class: its probability, or its margin for a model without one."""
+    """The score of the positive class: its probability, or its margin or prediction for a model without one."""
+    if "probability" not in df.columns and "rawPrediction" not in df.columns:
+        return F.col("prediction")
     return F.element_at(vector_to_array("probability" if "probability" in df.columns else "rawPrediction"), 2)
 
 
@@ -170,3 +174,36 @@ def multinomial_scores(rows: DataFrame, labels: tuple[str, ...], n_folds: int, k
     finally:
         train.unpersist()
     return out
+
+
+def knn_scores(rows: DataFrame, keep: list[str], k: int = 5, sample: int = 5000, labels: tuple[str, ...] = LABELS, seed: int = 7) -> DataFrame:
+    """``keep``, ``p``: shares of the labels among the ``k`` nearest training rows, those of the row's own fold left out.
+
+    The model is at most ``sample`` training rows, those with the least hash of ``instance_id`` (a documented bound of
+    the fit); every row is scored, in Arrow batches against this table.
+    """
+    train = rows.where((F.col("split") == "train") & F.col("y").isin(*labels))
+    kept = train.select("features", "y", "fold", F.xxhash64(F.lit(seed), "instance_id").alias("_o")).orderBy("_o").limit(sample).collect()
+    points = np.array([r["features"] for r in kept], dtype=float).reshape(len(kept), -1)
+    own = np.array([r["fold"] if r["fold"] is not None else ALL for r in kept])
+    one_hot = np.array([[float(r["y"] == x) for x in labels] for r in kept]).reshape(len(kept), len(labels))
+    if len(kept) <= k:
+        raise ValueError("more training rows than neighbours are needed")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                x = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                held = np.array(batch.column("split").to_pylist(), dtype=object) == "train"
+                fold = batch.column("fold").fill_null(ALL - 1).to_numpy(zero_copy_only=False)
+                far = (x * x).sum(1)[:, None] + (points * points).sum(1)[None, :] - 2 * x @ points.T
+                far[held[:, None] & (fold[:, None] == own[None, :])] = np.inf
+                near = np.argpartition(far, k, axis=1)[:, :k]
+                p = one_hot[near].mean(axis=1)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * len(labels)), pa.array(p.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), lists], [*keep, "p"])
+
+    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField("p", T.ArrayType(T.DoubleType()))])
+    columns = list(dict.fromkeys([*keep, "split", "fold", "features"]))
+    return rows.select(*columns).mapInArrow(score, schema)

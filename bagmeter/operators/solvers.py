@@ -57,14 +57,18 @@ def hellinger_mixture(c: np.ndarray, q: np.ndarray, start: np.ndarray, rounds: i
     return p
 
 
-def expectation_maximization(posterior: np.ndarray, prior: np.ndarray, rounds: int = 1000, tolerance: float = 1e-8) -> np.ndarray:
-    """Class shares under which re-weighted posteriors average to themselves; starts at the training prior."""
+def expectation_maximization(posterior: np.ndarray, prior: np.ndarray, counts: np.ndarray | None = None, rounds: int = 1000, tolerance: float = 1e-8) -> np.ndarray:
+    """Class shares under which re-weighted posteriors average to themselves; starts at the training prior.
+
+    ``counts``: how often each row of ``posterior`` occurs.
+    """
     safe = np.maximum(prior, 1e-12)
     p = safe / safe.sum()
+    n = np.ones(len(posterior)) if counts is None else counts
     for _ in range(rounds):
         weighted = posterior * (p / safe)
         weighted /= np.maximum(weighted.sum(axis=1, keepdims=True), 1e-300)
-        fresh = weighted.mean(axis=0)
+        fresh = n @ weighted / n.sum()
         done = np.abs(fresh - p).max() < tolerance
         p = fresh
         if done:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,3 +73,23 @@ def right_closed_bin(value: Column, bins: int) -> Column:
     """Bin of a share with right-closed bins; 0 belongs to the first."""
     edges = F.array(*(F.lit(i / bins) for i in range(1, bins)))
     return F.size(F.filter(edges, lambda e: e < value))
+
+
+def wilcoxon_p(n: int, w_plus: float) -> float:
+    """Two-sided normal approximation for the sum of positive ranks of ``n`` differences; 1 without any."""
+    if not n:
+        return 1.0
+    z = (w_plus - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def spearman_p(rho: float, n: int) -> float:
+    """Two-sided p-value of a rank correlation of ``n`` items by Student's t, integrated numerically."""
+    if n < 3 or abs(rho) >= 1:
+        return 1.0 if n < 3 else 0.0
+    df = n - 2
+    t = abs(rho) * math.sqrt(df / (1 - rho * rho))
+    # P(|T| > t) over angles: the density of T at sqrt(df) tan(a) is proportional to cos(a)^(df - 1)
+    lo, half, steps = math.atan(t / math.sqrt(df)), math.pi / 2, 20_000
+    area = lambda a, b: sum(math.cos(a + (i + 0.5) * (b - a) / steps) ** (df - 1) for i in range(steps)) * (b - a) / steps
+    return area(lo, half) / area(0.0, half)

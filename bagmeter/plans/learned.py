@@ -89,6 +89,10 @@ def oof_scores_multinomial(spark, sf_dir):
     return out.withColumn("pred", scoring.argmax("p"))
 
 
+def scores_knn(spark, sf_dir):
+    return scoring.knn_scores(instances(spark, sf_dir), ["instance_id", "split", "y"])
+
+
 def _calibration_rows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     scored = scores(spark, sf_dir)
     long = scoring.long_scores(scored, ["instance_id", "split", "fold", "y"]).withColumn("is_true", (F.col("y") == F.col("label")).cast("int"))
@@ -142,7 +146,7 @@ def fold_average(spark, sf_dir):
 
 
 _FNS = (
-    gac, gpac, fm, emq, emq_fixed_iterations, cde, hdx, readme, energy_distance, discretized_features, oof_scores_multinomial, platt, isotonic,
+    gac, gpac, fm, emq, emq_fixed_iterations, cde, hdx, readme, energy_distance, discretized_features, oof_scores_multinomial, scores_knn, platt, isotonic,
     temperature, cross_fit, fold_average,
 )
 QUERIES = {f.__name__: f for f in _FNS} | {f"oof_scores_{k.lower()}": _trained(k) for k in scoring.CLASSIFIERS}

@@ -227,3 +227,21 @@ def test_centroids_leave_their_fold_out(spark):
 def test_aligned_scores(spark):
     df = spark.createDataFrame([([0.2, 0.8],)], "p array<double>")
     assert df.select(scoring.align_scores(F.col("p"), ["A", "N"], ("A", "F", "N")).alias("p")).first()["p"] == [0.2, 0.0, 0.8]
+
+
+def test_p_values():
+    assert stats.wilcoxon_p(0, 0) == 1.0 and stats.wilcoxon_p(10, 27.5) == pytest.approx(1.0)
+    assert stats.wilcoxon_p(20, 190) == pytest.approx(0.0017, abs=2e-4)
+    assert stats.spearman_p(0.0, 10) == pytest.approx(1.0) and stats.spearman_p(0.6319, 10) == pytest.approx(0.05, abs=5e-4)
+
+
+def test_nearest_neighbours_leave_their_fold_out(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, "train" if i < 80 else "test", i % 4 if i < 80 else None, "NV"[i % 2], (rng.normal(0, 1, 20) + (i % 2) * 4).tolist()) for i in range(100)]
+    df = spark.createDataFrame(rows, "instance_id int, split string, fold int, y string, features array<double>")
+    got = {r["instance_id"]: r["p"] for r in scoring.knn_scores(df, ["instance_id"], 3, 80, ("N", "V")).collect()}
+    x = np.array([r[4] for r in rows])
+    for i, _, fold, *_ in rows:
+        others = [j for j in range(80) if rows[j][2] != fold]
+        near = sorted(others, key=lambda j: ((x[i] - x[j]) ** 2).sum())[:3]
+        assert got[i] == pytest.approx([np.mean([rows[j][3] == c for j in near]) for c in "NV"])
