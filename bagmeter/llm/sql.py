@@ -42,6 +42,22 @@ pairs as (
   from vectors a, vectors b where not a.probe and b.probe and {_NEAR} >= 17
 )"""
 
+_LEAKS = """
+with item_words as (
+  select item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') as w from eval_items where item_text is not null
+),
+item_grams as (
+  select distinct item_id, array_to_string(w[i : i + 11], ' ') as gram
+  from (select item_id, w, unnest(range(1, len(w) - 10)) as i from item_words)
+),
+doc_words as (
+  select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null
+),
+doc_grams as (
+  select doc_id, array_to_string(w[i : i + 11], ' ') as gram
+  from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from doc_words)
+)"""
+
 SQL = {
     "p1_found": f"""
 with {_ASKED}
@@ -50,6 +66,23 @@ left join supply s on a.source = s.source and a.label = s.label where a.quota >
     "p2_found": f"""
 with {_PAIRS}
 select least(train_id, other_id) as instance_a, greatest(train_id, other_id) as instance_b from pairs""",
+    "p2_report": f"""
+with {_PAIRS},
+places as (select distinct on (instance_id) instance_id as other_id, split, source from instances),
+agreeing as (
+  select b.instance_id as other_id, {_NEAR} as m from vectors a, vectors b where not a.probe and b.probe and {_NEAR} >= 17
+)
+select split, source, count(*) as pairs, count(distinct other_id) as beats, max(m / (40 - m)::double) as best_jaccard
+from agreeing join places using (other_id) group by split, source""",
+    "p3_merged_days": f"""
+with {_VALUES},
+cells as (select method, classifier, bag_size, least(1023, floor(mae * 1024))::int as bin, count(*) as n from vals group by all),
+upto as (
+  select *, sum(n) over (partition by method, classifier, bag_size order by bin) as u, sum(n) over (partition by method, classifier, bag_size) as t from cells
+),
+probs as (select unnest([0.05, 0.25, 0.5, 0.75, 0.95])::double as prob)
+select method, classifier, bag_size, prob, t::bigint as n, (bin + 0.5::double) / 1024 as value, 1 / 2048::double as error
+from upto, probs where floor(prob * (t - 1)) < u and floor(prob * (t - 1)) >= u - n""",
     "p3_found": f"""
 with {_VALUES}
 select method, classifier, bag_size from vals group by all having quantile_cont(mae, 0.5) > 0.30""",
@@ -81,20 +114,7 @@ with means as (
 select run_id, protocol, bag_size, place, quantifier from (
   select *, row_number() over (partition by run_id, protocol, bag_size order by mae_mean, quantifier)::int as place from means
 ) where place <= 5""",
-    "p8_found": """
-with item_words as (
-  select item_id, regexp_extract_all(lower(item_text), '[\\p{L}\\p{N}]+') as w from eval_items where item_text is not null
-),
-item_grams as (
-  select distinct item_id, array_to_string(w[i : i + 11], ' ') as gram
-  from (select item_id, w, unnest(range(1, len(w) - 10)) as i from item_words)
-),
-doc_words as (
-  select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null
-),
-doc_grams as (
-  select doc_id, array_to_string(w[i : i + 11], ' ') as gram
-  from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from doc_words)
-)
-select distinct doc_id, item_id from doc_grams join item_grams using (gram)""",
+    "p8_found": f"{_LEAKS} select distinct doc_id, item_id from doc_grams join item_grams using (gram)",
+    "p8_clean": f"""{_LEAKS}
+select doc_id, source from documents where doc_id not in (select doc_id from doc_grams join item_grams using (gram))""",
 }
