@@ -58,6 +58,37 @@ doc_grams as (
   from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from doc_words)
 )"""
 
+_CLOSING = "' ' || chr(9) || chr(13) || chr(160) || chr(12288) || '\"''' || chr(8221) || chr(8217) || chr(187) || ')]'"
+_MARKS = "['.', '!', '?', ';', ':', chr(8230), chr(12290), chr(65281), chr(65311), chr(65307), chr(65306)]"
+_SOLID = "text"
+for _code in (32, 10, 9, 13, 160, 12288):
+    _SOLID = f"replace({_SOLID}, chr({_code}), '')"
+_GIVEN = "regexp_extract(lower(coalesce(lang, '')), '^([a-z]+)', 1)"
+_STATS = f"""
+with lists as (
+  select list(distinct lower(word)) as every, {', '.join(f"list(distinct lower(word)) filter (lang = '{c}') as l_{c}" for c in ('de', 'en', 'es', 'fr'))} from common_words
+),
+base as (
+  select doc_id, greatest(length({_SOLID}), 1) as solid, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as words,
+    case when {_GIVEN} in ('en', 'eng') then 'en' when {_GIVEN} in ('de', 'ger', 'deu') then 'de' when {_GIVEN} in ('fr', 'fra', 'fre') then 'fr'
+      when {_GIVEN} in ('es', 'spa') then 'es' when {_GIVEN} in ('zh', 'zho', 'chi') then 'zh' else 'und' end as given,
+    case when strlen(text) > 1.3 * length(text) then length(text) - length(regexp_replace(text, '\\p{{Han}}+', '', 'g')) else 0 end as han,
+    list_filter(list_transform(string_split(text, chr(10)), lambda x: rtrim(x, {_CLOSING})), lambda x: length(trim(x)) > 0) as lines
+  from documents where doc_id is not null and regexp_matches(text, '[^\\s\\x{{A0}}\\x{{3000}}]')
+),
+counted as (
+  select doc_id, solid, given, han, len(words) as n, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) as letters, len(lines) as n_lines,
+    len(list_filter(lines, lambda x: list_contains({_MARKS}, right(x, 1)))) as ended,
+    {', '.join(f"len(list_filter(words, lambda w: list_contains(l_{c}, w))) as c_{c}" for c in ('de', 'en', 'es', 'fr'))}
+  from base, lists
+),
+best as (select *, greatest(c_de, c_en, c_es, c_fr) as c from counted)
+select doc_id,
+  case when han * 3 > solid then 'zh' when c > 0 then case c when c_fr then 'fr' when c_es then 'es' when c_en then 'en' else 'de' end else given end as lang,
+  n::double as n_words, round(letters / greatest(n, 1)::double, 9) as mean_length, round(1 - letters / solid::double, 9) as symbol_ratio,
+  round(ended / greatest(n_lines, 1)::double, 9) as ended_share, round(c / greatest(n, 1)::double, 9) as common_share
+from best"""
+
 SQL = {
     "p1_found": f"""
 with {_ASKED}
@@ -117,4 +148,5 @@ select run_id, protocol, bag_size, place, quantifier from (
     "p8_found": f"{_LEAKS} select distinct doc_id, item_id from doc_grams join item_grams using (gram)",
     "p8_clean": f"""{_LEAKS}
 select doc_id, source from documents where doc_id not in (select doc_id from doc_grams join item_grams using (gram))""",
+    "p9_stats": _STATS,
 }
