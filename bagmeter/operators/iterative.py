@@ -30,7 +30,8 @@ def class_matrix(train: DataFrame, vector: str, labels: tuple[str, ...] = LABELS
     """Mean of ``vector`` by class, as columns, and the shares of the classes: labels x features numbers, collected."""
     k = len(labels)
     index = F.array_position(F.array(*map(F.lit, labels)), F.col("y")) - 1
-    width = len(train.select(vector).where(F.col(vector).isNotNull()).first()[0])
+    some = train.select(vector).where(F.col(vector).isNotNull()).first()
+    width = len(some[0]) if some else k
     means = [F.avg(F.element_at(vector, i + 1)).alias(f"m{i}") for i in range(width)]
     rows = train.where(F.col("y").isin(*labels)).groupBy(index.alias("c")).agg(F.count("*").alias("n"), *means).collect()
     c, prior = np.zeros((width, k)), np.zeros(k)
