@@ -58,6 +58,11 @@ doc_grams as (
   from (select doc_id, w, unnest(range(1, len(w) - 10)) as i from doc_words)
 )"""
 
+_PLACED = (
+    _LEAKS.replace("select distinct item_id,", "select item_id, i,").replace("select doc_id, array", "select doc_id, i, array")
+    .replace("item_grams as", "item_places as").replace("doc_grams as", "doc_places as")
+)
+
 _CLOSING = "' ' || chr(9) || chr(13) || chr(160) || chr(12288) || '\"''' || chr(8221) || chr(8217) || chr(187) || ')]'"
 _MARKS = "['.', '!', '?', ';', ':', chr(8230), chr(12290), chr(65281), chr(65311), chr(65307), chr(65306)]"
 _SOLID = "text"
@@ -146,6 +151,11 @@ select run_id, protocol, bag_size, place, quantifier from (
   select *, row_number() over (partition by run_id, protocol, bag_size order by mae_mean, quantifier)::int as place from means
 ) where place <= 5""",
     "p8_found": f"{_LEAKS} select distinct doc_id, item_id from doc_grams join item_grams using (gram)",
+    "p8_longest": f"""{_PLACED},
+hits as (select doc_id, item_id, d.i, d.i - t.i as diagonal from doc_places d join item_places t using (gram)),
+runs as (select *, i - row_number() over (partition by doc_id, item_id, diagonal order by i) as run from hits),
+lengths as (select doc_id, item_id, count(*) + 11 as n from runs group by doc_id, item_id, diagonal, run)
+select doc_id, item_id, max(n)::int as longest from lengths group by doc_id, item_id""",
     "p8_clean": f"""{_LEAKS}
 select doc_id, source from documents where doc_id not in (select doc_id from doc_grams join item_grams using (gram))""",
     "p9_stats": _STATS,
