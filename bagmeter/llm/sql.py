@@ -23,6 +23,12 @@ asked as (
   from bag_prevalences group by all
 )"""
 
+#: The beat classes of the ANSI/AAMI EC57 standard.
+_CLASS = (
+    "case when label in ('N', 'L', 'R', 'e', 'j') then 'N' when label in ('A', 'a', 'J', 'S') then 'S' when label in ('V', 'E') then 'V' "
+    "when label = 'F' then 'F' when label in ('/', 'f', 'Q') then 'Q' else label end"
+)
+
 _VALUES = f"""
 vals as (
   select upper({_TRIM.format('method')}) as method, upper({_TRIM.format('classifier')}) as classifier, bag_size, mae, run_day
@@ -99,6 +105,35 @@ SQL = {
 with {_ASKED}
 select a.protocol, a.bag_size, a.bag_index, a.label from asked a
 left join supply s on a.source = s.source and a.label = s.label where a.quota > coalesce(s.available, 0)""",
+    "p1_report": f"""
+with {_ASKED},
+samples as (select distinct protocol, bag_size, bag_index, source from asked),
+every as (
+  select protocol, bag_size, bag_index, source, label, quota, 0 as available from asked
+  union all select protocol, bag_size, bag_index, s.source, label, 0, available from samples s join supply using (source)
+),
+leaves as (
+  select protocol, bag_size, bag_index, source, label, {_CLASS} as c, sum(quota)::bigint as quota, sum(available)::bigint as available from every group by all
+),
+totals as (select *, least(sum(quota) over bag, sum(available) over bag) as t from leaves window bag as (partition by protocol, bag_size, bag_index, source)),
+classes as (
+  select protocol, bag_size, bag_index, source, c, any_value(t) as t, least(sum(quota), sum(available)) as base, sum(available) - least(sum(quota), sum(available)) as spare
+  from totals group by protocol, bag_size, bag_index, source, c
+),
+class_amounts as (
+  select protocol, bag_size, bag_index, source, c, base + greatest(0, least(spare, t - sum(base) over bag
+    - coalesce(sum(spare) over (partition by protocol, bag_size, bag_index, source order by -spare, c rows between unbounded preceding and 1 preceding), 0))) as amount
+  from classes window bag as (partition by protocol, bag_size, bag_index, source)
+),
+parts as (
+  select l.protocol, l.bag_size, l.bag_index, l.source, l.c, label, quota, available, amount, least(quota, available) as own, available - least(quota, available) as spare
+  from leaves l join class_amounts a on l.protocol = a.protocol and l.bag_size = a.bag_size and l.bag_index = a.bag_index
+    and l.source is not distinct from a.source and l.c is not distinct from a.c
+)
+select protocol, bag_size, bag_index, label, quota, available, own, (own + greatest(0, least(spare, amount - sum(own) over class
+    - coalesce(sum(spare) over (partition by protocol, bag_size, bag_index, source, c order by -spare, label rows between unbounded preceding and 1 preceding), 0))))::bigint as allotted,
+  quota - own as shortfall
+from parts window class as (partition by protocol, bag_size, bag_index, source, c)""",
     "p2_found": f"""
 with {_PAIRS}
 select least(train_id, other_id) as instance_a, greatest(train_id, other_id) as instance_b from pairs""",
