@@ -12,11 +12,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagmeter.config import LABELS
 from bagmeter.operators import solvers
+from bagmeter.sources.scratch import stage
 
 
 def _matrix(rows: list, at: str, of: str, value: str, size: tuple[int, int]) -> np.ndarray:
@@ -216,35 +218,103 @@ def readme(
     return solved_means(coded_means(bags, keys, codes, size), keys, solve, labels)
 
 
-def energy_distance(train: DataFrame, bags: DataFrame, keys: list[str], features: str, sample: int = 200, seed: int = 7, labels: tuple[str, ...] = LABELS) -> DataFrame:
-    """Class shares whose mixture has least energy distance to the bag.
+#: Bytes of training vectors that are sent to the tasks in one pass; more vectors make more passes.
+PASS_BYTES = 8_000_000
+#: Rows and columns of a tile of distances.
+TILE = 512
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    Each class is represented by at most ``sample`` training rows (a documented bound, as for any fitted
-    model): the rows with the least hash. Mean distances of a row to the classes are computed in Arrow
-    batches against this small table, then averaged per bag; no pairs of rows are joined.
-    """
-    order = F.xxhash64(F.lit(seed), "instance_id")
-    points: list[np.ndarray] = []
-    for x in labels:
-        rows = train.where(F.col("y") == x).select(features, order.alias("_o")).orderBy("_o").limit(sample).collect()
-        points.append(np.array([r[0] for r in rows], dtype=float).reshape(len(rows), -1))
-
-    def mean_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if not len(b):
-            return np.zeros(len(a))
-        square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-        return np.sqrt(np.maximum(square, 0)).mean(axis=1)
-
-    between = np.array([[mean_distance(a, b).mean() if len(a) and len(b) else 0.0 for b in points] for a in points])
-    kinds = dict(bags.dtypes)
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"d{i} double" for i in range(len(labels)))])
 
-    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def distance_sums(a: np.ndarray, points: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sums of the distances of each row of ``a`` to the weighted vectors of each class."""
+    out = np.zeros((len(a), len(points)))
+    for c, (b, weight) in enumerate(points):
+        for i in range(0, len(a), TILE):
+            x = a[i : i + TILE]
+            for j in range(0, len(b), TILE):
+                y = b[j : j + TILE]
+                square = x @ y.T
+                square *= -2
+                square += (x * x).sum(1)[:, None]
+                square += (y * y).sum(1)
+                out[i : i + TILE, c] += np.sqrt(np.maximum(square, 0, out=square), out=square) @ weight[j : j + TILE]
+    return out
+
+
+def _to_classes(points: list[tuple[np.ndarray, np.ndarray]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                x = np.vstack(batch[features].to_list()).astype(float)
-                yield batch[keys].assign(**{f"d{i}": mean_distance(x, b) for i, b in enumerate(points)})
+                d = distance_sums(_vectors(batch.column("x")), points)
+                yield pa.RecordBatch.from_arrays([batch.column("x"), *map(pa.array, d.T)], ["x", *(f"d{i}" for i in range(len(points)))])
+
+    return run
 
-    far = bags.select(*keys, features).mapInPandas(distances, schema)
-    means = far.groupBy(*keys).agg(F.array(*(F.avg(f"d{i}") for i in range(len(labels)))).alias("q"))
-    return solved_means(means, keys, lambda q: solvers.energy_shares(between, q), labels)
+
+def _between_classes(points: list[tuple[np.ndarray, np.ndarray]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = len(points)
+        sums = np.zeros((k, k))
+        for batch in batches:
+            if not len(batch):
+                continue
+            c, below = batch.column("c").to_numpy(), batch.column("below").to_numpy(zero_copy_only=False)
+            d = distance_sums(_vectors(batch.column("x")), points) * batch.column("w").to_numpy()[:, None]
+            for i in range(k):
+                sums[i] += d[c == i].sum(axis=0)
+                sums[:, i] += d[(c == i) & below].sum(axis=0)  # the pass of those rows doesn't see this block
+        at, of = np.indices((k, k), dtype=np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(v.ravel()) for v in (at, of, sums)], ["c", "other", "s"])
+
+    return run
+
+
+def energy_distance(train: DataFrame, bags: DataFrame, keys: list[str], features: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
+    """Class shares whose mixture has least energy distance to the bag.
+
+    Mean distances are those over all training rows: between the rows of two classes (of a class, between different
+    rows), and from each row of a bag to the rows of a class. Equal vectors are counted and measured once. The
+    training vectors are sent to the tasks in passes of bounded size; a pass adds up distances to its block from
+    each distinct vector of the bags and from the training vectors of this block and the blocks before it. The work
+    grows with the square of the training rows. Classes without training rows get a share of 0.
+    """
+    spark, k = train.sparkSession, len(labels)
+    index = (F.array_position(F.array(*map(F.lit, labels)), F.col("y")) - 1).cast("int")
+    vector = F.col(features).cast("array<double>")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = train.where(F.col("y").isin(*labels) & F.col(features).isNotNull())
+    counted = rows.groupBy(index.alias("c"), vector.alias("x")).agg(F.count("*").cast("double").alias("w"))
+    trained = stage(counted.repartition(tasks), "train-vectors")
+    asked = stage(bags.where(F.col(features).isNotNull()).groupBy(*keys, vector.alias("x")).agg(F.count("*").alias("n")), "bag-vectors")
+    units = stage(asked.select("x").distinct().repartition(tasks), "test-vectors")
+    passes = 1 + int(trained.agg(F.coalesce(F.sum(F.size("x")), F.lit(0))).first()[0]) * 8 // PASS_BYTES
+    part = F.pmod(F.xxhash64("c", "x"), F.lit(passes))
+    sums, far = np.zeros((k, k)), None
+    for at in range(passes):
+        block = trained.where(part == at).toArrow().combine_chunks()
+        c, w = block["c"].to_numpy(), block["w"].to_numpy()
+        x = np.vstack([_vectors(chunk) for chunk in block["x"].chunks if len(chunk)]) if len(block) else np.zeros((0, 0))
+        points = [(x[c == i], w[c == i]) for i in range(k)]
+        seen = trained.where(part <= at).withColumn("below", part < at).mapInArrow(_between_classes(points), "c int, other int, s double")
+        for r in seen.groupBy("c", "other").agg(F.sum("s").alias("s")).collect():
+            sums[r["c"], r["other"]] += r["s"]
+        away = stage(units.mapInArrow(_to_classes(points), ", ".join(["x array<double>", *(f"d{i} double" for i in range(k))])), "distances")
+        far = away if far is None else far.unionByName(away)
+    n = np.zeros(k)
+    for r in trained.groupBy("c").agg(F.sum("w").alias("n")).collect():
+        n[r["c"]] = r["n"]
+    between = sums / np.maximum(np.outer(n, n) - np.diag(n), 1)
+    held = np.flatnonzero(n)
+
+    def solve(q: np.ndarray) -> np.ndarray:
+        p = np.zeros(k) if len(held) else np.full(k, 1 / k)
+        if len(held):
+            p[held] = solvers.energy_shares(between[np.ix_(held, held)], q[held])
+        return p
+
+    total = far.groupBy("x").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(k)))
+    mean = F.array(*(F.sum(F.col("n") * F.col(f"d{i}")) / F.sum("n") / F.lit(float(max(n[i], 1))) for i in range(k)))
+    return solved_means(asked.join(total, "x").groupBy(*keys).agg(mean.alias("q")), keys, solve, labels)
