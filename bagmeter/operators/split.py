@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bagmeter.functions.ranks import ranked
 from bagmeter.functions.rng import uniform
-
-#: Most groups that are assigned on the driver (a row of class counts each).
-MOST_GROUPS = 200_000
+from bagmeter.sources.scratch import drop, stage
 
 
 def fold_count(test_size: float) -> int:
@@ -45,75 +45,84 @@ def hash_split(groups: DataFrame, group: str, test_size: float, seed: int = 42)
     return distinct.select(group, F.when(last, "test").otherwise("train").alias("side"))
 
 
-def class_counts(df: DataFrame, group: str, label: str) -> tuple[list, list, np.ndarray]:
-    """Groups, labels and the matrix of rows, collected after a check of the number of groups."""
-    counts = df.where(F.col(group).isNotNull() & F.col(label).isNotNull()).groupBy(group, label).agg(F.count("*").alias("n"))
-    if counts.select(group).distinct().limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
-        raise ValueError(f"more than {MOST_GROUPS} groups; use hash_split")
-    rows = counts.collect()
-    groups, labels = sorted({r[group] for r in rows}), sorted({r[label] for r in rows})
-    at, of = {g: i for i, g in enumerate(groups)}, {x: i for i, x in enumerate(labels)}
-    matrix = np.zeros((len(groups), len(labels)))
-    for r in rows:
-        matrix[at[r[group]], of[r[label]]] = r["n"]
-    return groups, labels, matrix
-
-
-def balanced_folds(matrix: np.ndarray, folds: int, seed: int | None) -> np.ndarray:
-    """A fold for each group such that the classes are spread evenly over folds.
-
-    Groups are shuffled, then taken by falling deviation of their class counts; each goes to the
-    fold for which the class shares over folds deviate least, and of equals to that with fewest rows.
+def class_counts(df: DataFrame, group: str, label: str) -> tuple[DataFrame, list, list[float]]:
+    """A written table of ``group`` and ``v``, its rows by label; the labels, and the rows of each."""
+    known = df.where(F.col(group).isNotNull() & F.col(label).isNotNull())
+    labels = sorted(r[label] for r in known.select(label).distinct().collect())
+    v = F.array(*(F.sum((F.col(label) == F.lit(x)).cast("double")) for x in labels)) if labels else F.array().cast("array<double>")
+    counts = stage(known.groupBy(group).agg(v.alias("v")), "class-counts")
+    row = counts.agg(*(F.sum(F.element_at("v", i + 1)).alias(f"n{i}") for i in range(len(labels)))).first() if labels else []
+    return counts, labels, [x or 0.0 for x in row]
+
+
+def _dealer(group: str, folds: int, totals: list[float]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, scale = np.zeros((folds, len(totals))), np.maximum(np.array(totals), 1)
+        each = np.arange(folds)
+        for batch in batches:
+            out = np.zeros(len(batch), dtype=np.int32)
+            for at, v in enumerate(batch["v"]):
+                tried = np.repeat(held[None], folds, axis=0)
+                tried[each, each] += v
+                costs = (tried / scale).std(axis=1).mean(axis=1).round(12)
+                best = np.lexsort((tried[each, each].sum(axis=1), costs))[0]
+                held[best] += v
+                out[at] = best
+            yield pd.DataFrame({group: batch[group], "fold": out})
+
+    return run
+
+
+def balanced_folds(counts: DataFrame, group: str, totals: list[float], folds: int, seed: int | None) -> DataFrame:
+    """``group``, ``fold``, a written table: folds such that the classes are spread evenly over them.
+
+    Groups are taken by falling deviation of their class counts, equal ones in a seeded random order; each goes to the
+    fold for which the class shares over folds deviate least, and of equals to that with fewest rows. Each choice depends on
+    those before it, so one task makes them in one ordered pass; it holds rows by fold and class, no groups.
     """
-    order = np.arange(len(matrix))
-    if seed is not None:
-        np.random.default_rng(seed).shuffle(order)
-    order = order[np.argsort(-matrix[order].std(axis=1), kind="stable")]
-    held, totals = np.zeros((folds, matrix.shape[1])), np.maximum(matrix.sum(axis=0), 1)
-    out = np.zeros(len(matrix), dtype=int)
-    for g in order:
-        costs = []
-        for k in range(folds):
-            held[k] += matrix[g]
-            costs.append((round(float((held / totals).std(axis=0).mean()), 12), held[k].sum()))
-            held[k] -= matrix[g]
-        best = min(range(folds), key=costs.__getitem__)
-        held[best] += matrix[g]
-        out[g] = best
-    return out
-
-
-def _table(spark, group: str, groups: list, name: str, values: list) -> DataFrame:
-    schema = f"{group} {'long' if groups and isinstance(groups[0], int) else 'string'}, {name} {'int' if name == 'fold' else 'string'}"
-    return spark.createDataFrame(list(zip(groups, values)), schema)
+    # the variance in whole numbers, so that equal ones tie
+    square, total = (F.aggregate("v", F.lit(0.0), f) for f in (lambda s, x: s + x * x, lambda s, x: s + x))
+    spread = square * F.size("v") - total * total
+    ties = [] if seed is None else [uniform(seed, "fold", F.col(group))]
+    ordered = counts.repartition(1).sortWithinPartitions(spread.desc(), *ties, group)
+    kind = dict(counts.dtypes)[group]
+    return stage(ordered.select(group, "v").mapInPandas(_dealer(group, folds, totals), f"`{group}` {kind}, fold int"), "folds")
 
 
 def stratified_folds(df: DataFrame, group: str, label: str, folds: int, seed: int | None = None) -> DataFrame:
     """``group``, ``fold``."""
-    groups, _, matrix = class_counts(df, group, label)
-    return _table(df.sparkSession, group, groups, "fold", [int(f) for f in balanced_folds(matrix, folds, seed)])
+    counts, _, totals = class_counts(df, group, label)
+    return balanced_folds(counts, group, totals, folds, seed)
+
+
+def _sides(folds: DataFrame, group: str) -> DataFrame:
+    return folds.select(group, F.when(F.col("fold") == 0, "test").otherwise("train").alias("side"))
 
 
 def stratified_split(df: DataFrame, group: str, label: str, test_size: float = 0.3, seed: int | None = None) -> DataFrame:
     """``group``, ``side``: the first of :func:`fold_count` balanced folds is test."""
-    groups, _, matrix = class_counts(df, group, label)
-    fold = balanced_folds(matrix, fold_count(test_size), seed)
-    return _table(df.sparkSession, group, groups, "side", ["test" if f == 0 else "train" for f in fold])
+    return _sides(stratified_folds(df, group, label, fold_count(test_size), seed), group)
 
 
 def guaranteed_split(df: DataFrame, group: str, label: str, test_size: float = 0.3, seed: int = 0, ensure: list | None = None, attempts: int = 50) -> tuple[DataFrame, int]:
     """``group``, ``side`` with every label of ``ensure`` on both sides, and the seed that gave it.
 
-    The counts are aggregated once; attempts only shuffle the small matrix. Raises if no seed does.
+    The counts are aggregated once; attempts only order them anew. Raises if no seed does, at once where a label has a single group.
     """
-    groups, labels, matrix = class_counts(df, group, label)
+    counts, labels, totals = class_counts(df, group, label)
     wanted = [labels.index(x) for x in (ensure or labels)]
+    groups = [F.coalesce(F.sum((F.element_at("v", i + 1) > 0).cast("long")), F.lit(0)).alias(f"g{i}") for i in wanted]
+    failed = RuntimeError(f"no split with every label on both sides in {attempts} attempts")
+    if groups and min(counts.agg(*groups).first()) < 2:
+        raise failed
     more = np.random.default_rng(seed).integers(0, 2**31 - 1, attempts - 1)
     for s in [seed, *(int(x) for x in more)]:
-        test = balanced_folds(matrix, fold_count(test_size), s) == 0
-        if (matrix[test][:, wanted].sum(axis=0) > 0).all() and (matrix[~test][:, wanted].sum(axis=0) > 0).all():
-            return _table(df.sparkSession, group, groups, "side", ["test" if t else "train" for t in test]), s
-    raise RuntimeError(f"no split with every label on both sides in {attempts} attempts")
+        folds = balanced_folds(counts, group, totals, fold_count(test_size), s)
+        held = _sides(folds, group).join(counts, group).groupBy("side").agg(*groups).drop("side").collect()
+        if not groups or (len(held) == 2 and all(n > 0 for r in held for n in r)):
+            return _sides(folds, group), s
+        drop(folds)
+    raise failed
 
 
 def leaking_groups(df: DataFrame, group: str, side: str, a: str = "train", b: str = "test") -> DataFrame:

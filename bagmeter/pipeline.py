@@ -23,7 +23,7 @@ def prepare_splits(spark: SparkSession, data: str, out: str, test_size: float =
     """Beats with a split by record that has every label on both sides, written by split with its metadata."""
     rows = protocols.beats(spark, data).where(F.col("y").isin(*LABELS) & F.col("record").isNotNull()).drop("split")
     sides, used = split.guaranteed_split(rows, "record", "y", test_size, seed)
-    result = rows.join(F.broadcast(sides), "record").withColumnRenamed("side", "split")  # at most split.MOST_GROUPS rows
+    result = rows.join(sides, "record").withColumnRenamed("side", "split")
     if not split.leaking_groups(result, "record", "split").isEmpty():
         raise RuntimeError("a record is on both sides")
     result.write.mode("overwrite").partitionBy("split").parquet(f"{out}/splits")
