@@ -17,6 +17,7 @@ from bagmeter.sources.checkpoint import ExperimentCheckpoint
 from bagmeter.sources.scratch import stage
 
 KEYS = ["bag_size", "bag_index"]
+PROTOCOLS = ("APP", "C-APP")
 
 
 def prepare_splits(spark: SparkSession, data: str, out: str, test_size: float = 0.3, seed: int = 0) -> DataFrame:
@@ -50,9 +51,23 @@ def registry() -> dict[str, Callable[[DataFrame, DataFrame, DataFrame, DataFrame
         "GPAC": lambda t, b, lb, lo: iterative.mixture(t, b, KEYS, "soft"),
         "FM": lambda t, b, lb, lo: iterative.mixture(t, b, KEYS, "prior"),
         "EMQ": lambda t, b, lb, lo: iterative.emq(t, b, KEYS),
+        "CDE": lambda t, b, lb, lo: normal(iterative.cde(lb.select(*KEYS, "label", "p"), estimators.rates(lo).select("label", "prior", "tpr", "fpr"), KEYS)),
+        "HDx": lambda t, b, lb, lo: iterative.hdx(t, b, KEYS, "features", scoring.WIDTH),
+        "ReadMe": lambda t, b, lb, lo: iterative.readme(t, b, KEYS, "features", scoring.WIDTH),
+        "ED": lambda t, b, lb, lo: iterative.energy_distance(t, b, KEYS, "features"),
     }
 
 
+#: Classifiers of whole score vectors by name: functions of (session, data).
+SCORERS = {"centroid": quantify.scores, "multinomial": learned.oof_scores_multinomial}
+
+
+def _scored(spark: SparkSession, data: str, classifier: str) -> DataFrame:
+    """Scores of a classifier with the features, which some estimators read instead; written once."""
+    features = quantify.instances(spark, data).select("instance_id", "features")
+    return stage(SCORERS[classifier](spark, data).join(features, "instance_id"), "scored")
+
+
 def _long(rows: DataFrame, keep: list[str]) -> DataFrame:
     flag = lambda c: (F.col(c) == F.col("label")).cast("int")
     return scoring.long_scores(rows, [*keep, "y", "pred"]).select(*keep, "label", "p", flag("pred").alias("is_pred"), flag("y").alias("is_true"))
@@ -61,21 +76,22 @@ def _long(rows: DataFrame, keep: list[str]) -> DataFrame:
 def _drawn(spark: SparkSession, data: str, protocol: str, scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Truth and members with scores of a protocol's bags; both are written once."""
     asked = protocols._bags(spark, data, protocol)
-    truth = bags.capp_truth(asked)
-    test = scored.where("split = 'test'").select("instance_id", "y", "p", "pred")
-    drawn = bags.members(truth, test.select(F.col("y").alias("label"), "instance_id"), "instance_id")
+    truth = bags.app_truth(asked) if protocol == "APP" else bags.capp_truth(asked)
+    test = scored.where("split = 'test'").select("instance_id", "y", "p", "pred", *({"features"} & set(scored.columns)))
+    label = labels.binary_label(F.col("y")) if protocol == "APP" else F.col("y")
+    drawn = bags.members(truth, test.select(label.alias("label"), "instance_id"), "instance_id")
     return truth, stage(drawn.select(*KEYS, "pos", "instance_id").join(test, "instance_id"), "bag-rows")
 
 
-def run_experiment(spark: SparkSession, data: str, out: str, names: list[str] | None = None, fresh: bool = False) -> DataFrame:
+def run_experiment(spark: SparkSession, data: str, out: str, names: list[str] | None = None, fresh: bool = False, classifier: str = "centroid") -> DataFrame:
     """Evaluate estimators on bags within risk bands and write the summary; finished units are skipped on a second run."""
     known = registry()
     names = names or list(known)
     check = ExperimentCheckpoint(spark, f"{out}/checkpoint", fresh)
-    check.record_config({"data": data, "protocol": "C-APP", "estimators": sorted(known)})
+    check.record_config({"data": data, "protocol": "C-APP", "estimators": sorted(known), "classifier": classifier})
     todo = [n for n in names if not check.is_done(n)]
     if todo:
-        scored = quantify.scores(spark, data)
+        scored = _scored(spark, data, classifier)
         train = scored.where("split = 'train'")
         truth, rows = _drawn(spark, data, "C-APP", scored)
         long_bags, oof = _long(rows, KEYS), _long(train, [])
@@ -90,19 +106,41 @@ def run_experiment(spark: SparkSession, data: str, out: str, names: list[str] |
     return summary
 
 
-def compare_protocols(spark: SparkSession, data: str, out: str) -> DataFrame:
-    """Ranks of the estimators under both protocols by the tables of mean errors, and their shifts."""
-    shifts = protocols_shift(spark, data)
+def compare_protocols(spark: SparkSession, data: str, out: str, names: list[str] | None = None, fresh: bool = False, classifier: str = "centroid") -> DataFrame:
+    """Ranks of the estimators on bags of both protocols, drawn from the same scores, and their shifts.
+
+    The error is that of the positive label's share: bags with uniform shares are drawn by it, and within risk bands the
+    other labels are collapsed. Units (estimator::protocol) that are finished are skipped on a second run.
+    """
+    known = registry()
+    names = names or list(known)
+    check = ExperimentCheckpoint(spark, f"{out}/protocols_checkpoint", fresh)
+    check.record_config({"data": data, "estimators": sorted(known), "classifier": classifier})
+    todo = [(n, p) for p in PROTOCOLS for n in names if not check.is_done(n, p)]
+    if todo:
+        scored = _scored(spark, data, classifier)
+        train = scored.where("split = 'train'")
+        oof = _long(train, [])
+    for protocol in PROTOCOLS:
+        mine = [n for n, p in todo if p == protocol]
+        if not mine:
+            continue
+        truth, rows = _drawn(spark, data, protocol, scored)
+        binary = F.col("label") if protocol == "APP" else labels.binary_label(F.col("label"))
+        true = truth.groupBy(*KEYS).agg(F.sum(F.when(binary == 1, F.col("prevalence")).otherwise(0.0)).alias("p_true"))
+        long_bags = _long(rows, KEYS)
+        for name in mine:
+            guess = known[name](train, rows, long_bags, oof).where(labels.binary_label(F.col("label")) == 1)
+            errors = true.join(guess, KEYS).select(*KEYS, F.abs(F.col("p_true") - F.col("p_pred")).alias("mae"))
+            check.save(errors.withColumns({"quantifier": F.lit(name), "protocol": F.lit(protocol)}), name, protocol)
+    means = check.results().groupBy("quantifier", "protocol", "bag_size").agg(F.round(F.avg("mae"), 9).alias("mae"))
+    shifts = stats.rank_shift(means, ["bag_size"], "quantifier", "protocol", "mae", *PROTOCOLS).select(
+        "bag_size", "quantifier", F.col("first_rank").alias("app_rank"), F.col("second_rank").alias("capp_rank"), F.col("shift").alias("rank_shift")
+    )
     shifts.write.mode("overwrite").csv(f"{out}/ranking_comparison", header=True)
     return shifts
 
 
-def protocols_shift(spark: SparkSession, data: str) -> DataFrame:
-    from bagmeter.plans import reporting
-
-    return reporting.protocol_rank_shift(spark, data)
-
-
 def calibration_study(spark: SparkSession, data: str, out: str) -> DataFrame:
     """Classwise calibration errors of each method, as one long table."""
     parts = [f(spark, data).select("label", "ece", F.lit(f.__name__).alias("method")) for f in (learned.platt, learned.isotonic, learned.temperature, learned.cross_fit)]
