@@ -240,11 +240,11 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stats(spark, sf_dir).select(F.col("id").alias("doc_id"), "lang", *(F.round(c, 9).alias(c) for c in quality.TAILS))
+    return _stats(spark, sf_dir).select(F.col("id").alias("doc_id"), "lang", *(F.round(c, 9).alias(c) for c in quality.TAILS if c != "outside_share"))
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.outlier_scores(_stats(spark, sf_dir)).select(F.col("id").alias("doc_id"), "lang", "score")
+    return quality.outlier_scores(_stats(spark, sf_dir)).select(F.col("id").alias("doc_id"), "lang", F.round("score", 6).alias("score"))
 
 
 QUERIES = {

@@ -93,12 +93,59 @@ counted as (
     {', '.join(f"len(list_filter(words, lambda w: list_contains(l_{c}, w))) as c_{c}" for c in ('de', 'en', 'es', 'fr'))}
   from base, lists
 ),
-best as (select *, greatest(c_de, c_en, c_es, c_fr) as c from counted)
-select doc_id,
-  case when han * 3 > solid then 'zh' when c > 0 then case c when c_fr then 'fr' when c_es then 'es' when c_en then 'en' else 'de' end else given end as lang,
-  n::double as n_words, round(letters / greatest(n, 1)::double, 9) as mean_length, round(1 - letters / solid::double, 9) as symbol_ratio,
-  round(ended / greatest(n_lines, 1)::double, 9) as ended_share, round(c / greatest(n, 1)::double, 9) as common_share
-from best"""
+best as (select *, greatest(c_de, c_en, c_es, c_fr) as c from counted),
+stats as (
+  select doc_id,
+    case when han * 3 > solid then 'zh' when c > 0 then case c when c_fr then 'fr' when c_es then 'es' when c_en then 'en' else 'de' end else given end as lang,
+    n::double as n_words, letters / greatest(n, 1)::double as mean_length, 1 - letters / solid::double as symbol_ratio,
+    ended / greatest(n_lines, 1)::double as ended_share, c / greatest(n, 1)::double as common_share
+  from best
+)"""
+
+_PIECE_SOLID = "piece"
+for _code in (32, 9, 13, 160, 12288):
+    _PIECE_SOLID = f"replace({_PIECE_SOLID}, chr({_code}), '')"
+_OUTSIDE = f"""
+with every as (select list(distinct lower(word)) as every from common_words where lang is not null and word is not null),
+texts as (select doc_id, string_split(text, chr(10)) as lines from documents where doc_id is not null and regexp_matches(text, '[^\\s\\x{{A0}}\\x{{3000}}]')),
+lines as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as at_line from texts),
+cut as (
+  select doc_id, at_line, case when length(line) > 160
+    then string_split(regexp_replace(line, '([.!?;。！？；])[ \t\r\u00a0\u3000]*', '\\1' || chr(10), 'g'), chr(10)) else [line] end as parts from lines
+),
+pieces as (select doc_id, at_line, unnest(parts) as piece, generate_subscripts(parts, 1) as at_part from cut),
+worded as (
+  select *, length({_PIECE_SOLID}) as solid, regexp_extract_all(lower(piece), '[\\p{{L}}\\p{{N}}]+') as words,
+    length(piece) - length(regexp_replace(piece, '\\p{{Han}}+', '', 'g')) as han from pieces
+),
+hits as (
+  select *, list_filter(words, lambda w: list_contains(every, w)) as common, len(list_filter(words, lambda w: length(w) = 1)) * 3 > len(words) as strewn,
+    coalesce(list_sum(list_transform(list_filter(words, lambda w: not regexp_matches(w, '[0-9]')), lambda w: length(w))), 0) as lettered
+  from worded, every where solid > 0
+),
+judged as (
+  select doc_id, at_line, at_part, solid, case when han > 0 and han * 3 >= solid then han >= 14 or regexp_matches(piece, '[，。；：、！？]')
+    else (case when strewn then len(list_filter(common, lambda w: length(w) > 1)) else len(common) end) >= greatest(1::double, 0.12::double * len(words))
+      and lettered >= 0.55::double * solid end as ok
+  from hits
+),
+placed as (
+  select *, coalesce(lag(ok) over doc, false) and (coalesce(lead(ok) over doc, false) or coalesce(lead(ok, 2) over doc, false)) as between_sentences
+  from judged window doc as (partition by doc_id order by at_line, at_part)
+),
+outside as (
+  select doc_id, coalesce(sum(solid) filter (not ok and not between_sentences), 0)::double / sum(solid)::double as outside_share from placed group by doc_id
+)"""
+
+
+def _tail(stat: str, side: str) -> str:
+    upto = f"count(*) over (partition by lang order by {stat} range between unbounded preceding and current row) / count(*) over (partition by lang)::double"
+    low, high = upto, upto.replace(f"order by {stat}", f"order by {stat} desc")
+    return {"low": low, "high": high, "both": f"least(1::double, 2 * least({low}, {high}))"}[side]
+
+
+_TAILS = {"n_words": "both", "mean_length": "both", "symbol_ratio": "high", "ended_share": "low", "common_share": "low"}
+_SCORE = " + ".join([*(f"0.01::double * -ln({_tail(s, side)})" for s, side in _TAILS.items()), f"-ln({_tail('outside_share', 'high')})"])
 
 SQL = {
     "p1_found": f"""
@@ -193,5 +240,7 @@ lengths as (select doc_id, item_id, count(*) + 11 as n from runs group by doc_id
 select doc_id, item_id, max(n)::int as longest from lengths group by doc_id, item_id""",
     "p8_clean": f"""{_LEAKS}
 select doc_id, source from documents where doc_id not in (select doc_id from doc_grams join item_grams using (gram))""",
-    "p9_stats": _STATS,
+    "p9_stats": f"""{_STATS} select doc_id, lang, n_words, {', '.join(f'round({s}, 9) as {s}' for s in _TAILS if s != 'n_words')} from stats""",
+    "p9_found": f"{_OUTSIDE} select doc_id from outside where outside_share > 0.5",
+    "p9_scores": f"""{_STATS}, {_OUTSIDE.replace('with every', 'every', 1)} select doc_id, lang, round({_SCORE}, 6) as score from stats join outside using (doc_id)""",
 }
