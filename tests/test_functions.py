@@ -118,3 +118,35 @@ def test_mixture_and_em_recover_shares():
 def test_energy_shares():
     between = np.array([[0.0, 4.0], [4.0, 0.0]])
     assert np.allclose(solvers.energy_shares(between, between @ np.array([0.3, 0.7])), [0.3, 0.7], atol=1e-4)
+
+
+def test_order_bits_equal_the_bits_of_a_double(spark):
+    import math
+    import random
+    import struct
+
+    rnd = random.Random(3)
+    values = [0.0, -0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, float("inf"), 1.0, math.nextafter(1.0, 0), 8.0, math.nextafter(8.0, 9)]
+    values += [2.0**e for e in range(-1074, 1024)] + [math.nextafter(2.0**e, 0) for e in range(-1073, 1024)]
+    values += [struct.unpack("d", struct.pack("q", rnd.randrange(0x7FF << 52)))[0] for _ in range(2000)]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    for r in df.select("v", ranks.order_bits(F.col("v")).alias("b")).collect():
+        if r["v"] is None or r["v"] != r["v"]:
+            assert r["b"] is None
+        else:
+            bits = struct.unpack("q", struct.pack("d", abs(r["v"])))[0]
+            assert r["b"] == (bits if r["v"] >= 0 else -bits), r["v"]
+
+
+def test_percentiles_equal_numpy(spark):
+    import random
+
+    rnd = random.Random(5)
+    data = {"a": [rnd.random() for _ in range(301)], None: [2.0] * 50 + [3.0], "b": [7.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs] + [("a", None), ("z", None), ("a", float("nan"))], "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.999, 1.0]
+    got = {(r["g"], r["prob"]): r["value"] for r in ranks.percentiles(df, ["g"], F.col("v"), probs).collect()}
+    assert len(got) == 15 and all(abs(got[k, p] - np.quantile(vs, p)) < 1e-12 for k, vs in data.items() for p in probs)
+    assert ranks.percentiles(df.where("false"), [], F.col("v"), probs).collect() == []
+    assert {r["prob"]: r["value"] for r in ranks.percentiles(df.where("g = 'b'"), [], F.col("v"), [0.5]).collect()} == {0.5: 7.0}
