@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bagmeter.functions.ranks import order_bits
 from bagmeter.sources.scratch import drop, stage
 
-#: Midpoints tested in each pass, plus one.
-WAYS = 64
+#: A pass cuts an interval into at most 2 ** WAYS parts.
+WAYS = 7
 #: Intervals are broadcast up to so many rows (about 100 bytes each), else joined by shuffle.
 BROADCAST_INTERVALS = 200_000
 #: Parts into which a group is cut for the shuffled join.
@@ -16,78 +17,96 @@ SALTS = 64
 
 
 def _counted(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Finite values with their number of rows, spread over tasks by group *and* value."""
+    """Finite values with their number of rows and their place in the order, spread over tasks by group *and* value."""
     v = F.col(value).cast("double")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    return df.where(finite).select(*groups, (v + F.lit(0.0)).alias("v")).groupBy(*groups, "v").agg(F.count("*").alias("n"))
+    counts = df.where(finite).select(*groups, (v + F.lit(0.0)).alias("v")).groupBy(*groups, "v").agg(F.count("*").alias("n"))
+    return counts.withColumn("at", order_bits(F.col("v")))
 
 
 def percentiles(df: DataFrame, groups: list[str], value: str, probs: list[float], ways: int = WAYS) -> DataFrame:
     """``groups``, ``prob``, ``n``, ``value``: percentiles with linear interpolation, without error.
 
-    Each percentile is one or two ranks. For each group and rank an interval of values
-    is kept; a pass counts the rows in the parts between its midpoints, keeps the part
-    with the rank, and shrinks it to the least and greatest value that occur there, so
-    a rank is resolved once both are equal. Counts of parts of the data (partitions,
-    days) are added before a part is chosen, nothing is sorted and no group is gathered.
+    Each percentile is one or two ranks. For each group and rank an interval is kept, of the whole numbers that stand for
+    doubles in their order; a pass counts the rows in up to 2 ** ``ways`` equal parts of it, keeps the part
+    with the rank, and shrinks it to the least and greatest number that occur there, so
+    a rank is resolved once both are equal. An interval loses ``ways - 1`` of its 64 bits at least, so there are 64 / (ways - 1) passes
+    at most (11), whatever the values. Counts of parts of the data (partitions,
+    days) are added before a part is chosen, nothing is sorted and no group is gathered. Values outside the open intervals are left
+    behind after each pass.
 
     Null, NaN and infinite values don't count; groups without other values are left
     out; null group keys are groups. No input gives no rows.
     """
     counted = stage(_counted(df, groups, value), "bisect-values")
-    spread = counted.groupBy(*groups).agg(F.sum("n").alias("n_all"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ends = counted.groupBy(*groups).agg(
+        F.sum("n").alias("n_all"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("v").alias("v")
+    )
     at = F.col("prob") * (F.col("n_all") - 1)
     wanted = (
-        spread.withColumn("prob", F.explode(F.array(*(F.lit(float(p)) for p in probs))))
+        ends.withColumn("prob", F.explode(F.array(*(F.lit(float(p)) for p in probs))))
         .withColumn("ranks", F.array_distinct(F.array(F.floor(at).cast("long"), F.ceil(at).cast("long"))))
         .withColumn("rank", F.explode("ranks"))
     )
+    wanted = stage(wanted, "bisect-wanted")
     intervals = stage(
-        wanted.select(*groups, "n_all", "rank", "lo", "hi").distinct().withColumn("below", F.lit(0).cast("long")), "bisect-intervals"
+        wanted.select(*groups, "n_all", "rank", "lo", "hi", "v").distinct().withColumn("below", F.lit(0).cast("long")), "bisect-intervals"
     )
-    resolved = []
+    ranks, old = None, [counted, intervals]
     while True:
-        done = stage(intervals.where("lo = hi"), "bisect-done")
-        resolved.append(done)
+        done = intervals.where("lo = hi")
+        ranks = done if ranks is None else ranks.unionByName(done)
         open_ = intervals.where("lo < hi")
         n_open = open_.count()
         if not n_open:
             break
-        narrower = stage(_narrow(counted, open_, groups, n_open, ways), "bisect-intervals")
-        drop(intervals)
-        intervals = narrower
-    ranks = resolved[0]
-    for more in resolved[1:]:
-        ranks = ranks.unionByName(more)
+        intervals = stage(_narrow(counted, open_, groups, n_open, ways), "bisect-intervals")
+        counted = stage(_within(counted, intervals.where("lo < hi"), groups, n_open), "bisect-values")
+        drop(old[0])
+        old = [counted, intervals]
     key = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
-    found = ranks.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("rank").alias("_rank"), F.col("lo").alias("_v"))
-    joined = wanted.join(found, [*key, F.col("rank") == F.col("_rank")])
+    found = ranks.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("rank").alias("_rank"), F.col("v").alias("_v"))
+    joined = wanted.drop("v").join(found, [*key, F.col("rank") == F.col("_rank")])
     frac = F.max(F.col("prob") * (F.col("n_all") - 1) - F.floor(F.col("prob") * (F.col("n_all") - 1)))
-    return joined.groupBy(*groups, "prob").agg(
-        F.max("n_all").alias("n"), (F.min("_v") + (F.max("_v") - F.min("_v")) * frac).alias("value")
-    )
+    low, high = F.min("_v"), F.max("_v")
+    # the difference of far values is infinite
+    between = F.when(high - low < float("inf"), low + (high - low) * frac).otherwise(low * (1 - frac) + high * frac)
+    return joined.groupBy(*groups, "prob").agg(F.max("n_all").alias("n"), between.alias("value"))
 
 
-def _narrow(counted: DataFrame, intervals: DataFrame, groups: list[str], n_open: int, ways: int) -> DataFrame:
-    """One pass: the part of each open interval that holds its rank."""
+def _matched(counted: DataFrame, intervals: DataFrame, groups: list[str], n_open: int, how: str) -> DataFrame:
+    """Values joined with the intervals they lie in."""
     on = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+    inside = (F.col("at") >= F.col("lo")) & (F.col("at") <= F.col("hi"))
     renamed = intervals.select(*(F.col(g).alias(f"_{g}") for g in groups), "n_all", "rank", "lo", "hi", "below")
-    inside = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
     if n_open <= BROADCAST_INTERVALS:
-        pairs = counted.join(F.broadcast(renamed), [*on, inside])
-    else:
-        salted = counted.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-        copies = renamed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = salted.join(copies, [*on, F.col("_salt") == F.col("_copy"), inside])
-    part = F.least(F.lit(ways - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * ways)).cast("int")
+        return counted.join(F.broadcast(renamed), [*on, inside], how)
+    salted = counted.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    copies = renamed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, F.col("_salt") == F.col("_copy"), inside], how).drop("_salt", "_copy")
+
+
+def _within(counted: DataFrame, intervals: DataFrame, groups: list[str], n_open: int) -> DataFrame:
+    """The values in any of the intervals."""
+    return _matched(counted, intervals, groups, n_open, "left_semi").select(*groups, "v", "n", "at")
+
+
+def _narrow(counted: DataFrame, intervals: DataFrame, groups: list[str], n_open: int, ways: int) -> DataFrame:
+    """One pass: the part of each open interval that holds its rank."""
+    pairs = _matched(counted, intervals, groups, n_open, "inner")
+    # parts are all numbers with the same leading bits; halves, as the length of an interval may need 65 bits
+    bits = F.ceil(F.log2(F.shiftright("hi", 1) - F.shiftright("lo", 1) + F.lit(2.0))).cast("int") + 1
+    part = F.call_function("shiftright", F.col("at"), F.greatest(F.lit(0), bits - ways))
     id_ = [*groups, "n_all", "rank", "below"]
-    counts = pairs.groupBy(*id_, part.alias("part")).agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    counts = pairs.groupBy(*id_, part.alias("part")).agg(
+        F.sum("n").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.min("v").alias("v")
+    )
     upto = Window.partitionBy(*groups, "rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("below") + F.coalesce(F.sum("n").over(upto), F.lit(0))
     return (
         counts.withColumn("_before", before)
         .where((F.col("_before") <= F.col("rank")) & (F.col("rank") < F.col("_before") + F.col("n")))
-        .select(*groups, "n_all", "rank", "lo", "hi", F.col("_before").alias("below"))
+        .select(*groups, "n_all", "rank", "lo", "hi", "v", F.col("_before").alias("below"))
     )
 
 
