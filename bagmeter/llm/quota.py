@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bagmeter.functions.rng import uniform
 from bagmeter.sources.scratch import stage
 
 #: Rows per salt bucket when a leaf's pool is ranked.
 RANK_BUCKET = 50_000
 #: The leaves' supply is broadcast up to so many rows.
 BROADCAST_LEAVES = 200_000
-#: Most salt buckets of one leaf.
-MOST_BUCKETS = 65_536
 #: Primes above any pool size; steps through a pool of n ranks visit every rank once.
 STRIDES = (2147483647, 2147483629, 2147483587, 2147483579, 2147483563, 2147483549, 2147483543, 2147483497)
 
@@ -27,8 +26,8 @@ def allocate(quotas: DataFrame, supply: DataFrame, sample: list[str], pool: list
     rows to spare, in order of spare rows and name. So unmet quota of a leaf goes
     to its siblings, and only what they can't supply to cousins.
 
-    Returns ``sample``, ``pool``, ``path``, ``quota``, ``available``, ``own`` (met by the
-    leaf itself), ``allotted`` (with what it lends to others) and ``shortfall``.
+    Returns ``sample``, ``pool``, ``path``, ``quota``, ``available``, ``allotted`` (what the walk leaves at the leaf),
+    ``own`` (that part of it that meets the leaf's own quota, not what it lends to others) and ``shortfall``, the quota without ``own``.
     A null quota is 0, a sample whose pool has no rows gets nothing; rows of one
     sample and leaf add up. No input gives no rows.
     """
@@ -44,7 +43,6 @@ def allocate(quotas: DataFrame, supply: DataFrame, sample: list[str], pool: list
         .unionByName(lent)
         .groupBy(*sample, *pool, *path)
         .agg(F.sum("quota").alias("quota"), F.sum("available").alias("available"))
-        .withColumn("own", F.least("quota", "available"))
     )
     whole = Window.partitionBy(*sample, *pool)
     out = nodes.withColumn("_amount", F.least(F.sum("quota").over(whole), F.sum("available").over(whole)))
@@ -69,13 +67,15 @@ def allocate(quotas: DataFrame, supply: DataFrame, sample: list[str], pool: list
             .withColumn("_take", F.greatest(F.lit(0), F.least(F.col("_spare"), F.col("_rest") - F.col("_before"))))
             .withColumn("_amount", F.col("_base") + F.col("_take"))
         )
+    # what the walk hands to a leaf beyond its own quota is lent to others
+    out = out.withColumn("own", F.col("_amount") - F.col("_take"))
     return out.select(
         *sample, *pool, *path, "quota", "available", "own", F.col("_amount").alias("allotted"), (F.col("quota") - F.col("own")).alias("shortfall")
     )
 
 
 def ranked_pool(rows: DataFrame, leaf: list[str], unit: str, seed: int = 0) -> DataFrame:
-    """``leaf``, ``unit``, ``rank``, ``size``: a random dense rank from 0 in each leaf.
+    """``leaf``, ``unit``, ``rank``, ``size``: a random dense rank from 0 in each leaf, by md5 numbers.
 
     Leaves are cut into buckets by the random number that orders their units; buckets
     are ranked apart and shifted by the units in buckets before, so no task holds a
@@ -83,9 +83,8 @@ def ranked_pool(rows: DataFrame, leaf: list[str], unit: str, seed: int = 0) -> D
     null units not at all.
     """
     units = rows.select(*leaf, unit).where(F.col(unit).isNotNull()).distinct()
-    buckets = min(MOST_BUCKETS, 1 + units.count() // RANK_BUCKET)
-    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(unit)), 11)
-    placed = units.withColumn("_order", order).withColumn("_bucket", F.floor(order / F.lit(float(2**53)) * buckets).cast("int"))
+    buckets = 1 + units.count() // RANK_BUCKET
+    placed = units.withColumn("_order", uniform(seed, "rank", F.col(unit))).withColumn("_bucket", F.floor(F.col("_order") * buckets))
     counts = placed.groupBy(*leaf, "_bucket").agg(F.count("*").alias("_n"))
     in_leaf = Window.partitionBy(*leaf)
     before = in_leaf.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,14 +107,15 @@ def draw(allotted: DataFrame, ranked: DataFrame, sample: list[str], leaf: list[s
     """
     wanted = allotted.where("allotted > 0")
     sizes = ranked.groupBy(*leaf).agg(F.max("size").alias("size"))
-    key = F.xxhash64(F.lit(seed), *sample, *leaf)
-    stride = F.element_at(F.array(*(F.lit(s).cast("long") for s in STRIDES)), (F.pmod(key, F.lit(len(STRIDES))) + 1).cast("int"))
+    key = [F.col(c) for c in (*sample, *leaf)]
+    strides = F.array(*(F.lit(s).cast("long") for s in STRIDES))
+    stride = F.element_at(strides, (F.floor(uniform(seed, "stride", *key) * len(STRIDES)) + 1).cast("int"))
     places = (
         wanted.join(sizes, leaf)
-        .withColumn("_start", F.pmod(F.shiftright(key, 8), F.col("size")))
-        .withColumn("_stride", stride)
+        .withColumn("_start", F.floor(uniform(seed, "start", *key) * F.col("size")))
+        .withColumn("_stride", F.pmod(stride, F.col("size")))
         .select(*sample, *leaf, "size", "_start", "_stride", F.explode(F.sequence(F.lit(0), (F.col("allotted") - 1).cast("int"))).alias("_i"))
-        .select(*sample, *leaf, F.pmod(F.col("_start") + F.col("_i") * F.pmod(F.col("_stride"), F.col("size")), F.col("size")).alias("rank"))
+        .select(*sample, *leaf, F.pmod(F.col("_start") + F.col("_i") * F.col("_stride"), F.col("size")).alias("rank"))
     )
     return places.join(ranked.select(*leaf, "rank", unit), [*leaf, "rank"]).select(*sample, *leaf, unit)
 

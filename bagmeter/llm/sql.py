@@ -1,5 +1,8 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from bagmeter.functions.rng import uniform_sql
+from bagmeter.llm.quota import STRIDES
+
 _TRIM = "trim({}, chr(32) || chr(9))"
 
 
@@ -181,6 +184,7 @@ select protocol, bag_size, bag_index, label, quota, available, own, (own + great
     - coalesce(sum(spare) over (partition by protocol, bag_size, bag_index, source, c order by -spare, label rows between unbounded preceding and 1 preceding), 0))))::bigint as allotted,
   quota - own as shortfall
 from parts window class as (partition by protocol, bag_size, bag_index, source, c)""",
+    "p1_sample": "",
     "p2_found": f"""
 with {_PAIRS}
 select least(train_id, other_id) as instance_a, greatest(train_id, other_id) as instance_b from pairs""",
@@ -244,3 +248,21 @@ select doc_id, source from documents where doc_id not in (select doc_id from doc
     "p9_found": f"{_OUTSIDE} select doc_id from outside where outside_share > 0.5",
     "p9_scores": f"""{_STATS}, {_OUTSIDE.replace('with every', 'every', 1)} select doc_id, lang, round({_SCORE}, 6) as score from stats join outside using (doc_id)""",
 }
+
+_BAG_KEY = ("w.protocol", "w.bag_size", "w.bag_index", "w.source", "w.label")
+SQL["p1_sample"] = f"""
+with allotments as ({SQL["p1_report"].replace("select protocol, bag_size, bag_index, label, quota, available, own,", "select protocol, bag_size, bag_index, source, label, quota, available, own,")}),
+pool as (
+  select distinct source, {_TRIM.format("y")} as label, instance_id from instances where split = 'test' and y is not null and source is not null and instance_id is not null
+),
+ranked as (
+  select *, row_number() over (partition by source, label order by {uniform_sql(0, "'rank'", "instance_id")}, instance_id) - 1 as rank,
+    count(*) over (partition by source, label) as size from pool
+),
+walks as (
+  select w.*, size, floor({uniform_sql(0, "'start'", *_BAG_KEY)} * size)::bigint as start,
+    ([{", ".join(map(str, STRIDES))}])[floor({uniform_sql(0, "'stride'", *_BAG_KEY)} * {len(STRIDES)})::bigint + 1] % size as stride
+  from allotments w join (select distinct source, label, size from ranked) z on w.source = z.source and w.label = z.label where allotted > 0
+),
+places as (select protocol, bag_size, bag_index, source, label, (start + i * stride) % size as rank from (select *, unnest(range(allotted)) as i from walks))
+select p.protocol, p.bag_size, p.bag_index, p.source, p.label, instance_id from places p join ranked r on p.source = r.source and p.label = r.label and p.rank = r.rank"""
