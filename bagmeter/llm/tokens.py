@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where the vocabulary files lie on every executor.
+#: Where the vocabulary files lie on the driver; Spark's file server hands them to the executors.
 VOCABULARIES = "/opt/tokenizers"
 #: Fixed value: the pre-tokenizer pattern of byte_bpe_50k. White space is spelled out, as \s has fewer characters in Java.
 _SPACE = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -29,7 +31,11 @@ class Vocabulary:
         with open(path, "rb") as lines:
             pairs = [line.split() for line in lines if line.strip()]
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.longest = max(map(len, self.ranks))
+        starts: dict[bytes, set[int]] = {}
+        for token in self.ranks:
+            if len(token) > 1:
+                starts.setdefault(token[:2], set()).add(len(token))
+        self.lengths = {start: tuple(sorted(some, reverse=True)) for start, some in starts.items()}
         size = max(self.ranks.values()) + 1
         # the two tokens that each token was merged from; a byte is made of itself
         self.left, self.right = np.arange(size), np.arange(size)
@@ -44,27 +50,53 @@ class Vocabulary:
         self.pair_codes, self.pair_ids, self.size = codes[order], merged[order], size
 
     def _merged(self, word: bytes, below: float = float("inf")) -> list[int]:
-        """Exact merging: always the adjacent pair of least rank, the first of equals."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            ranked = [self.ranks.get(a + b, float("inf")) for a, b in zip(parts, parts[1:])]
-            least = min(ranked)
-            if least >= below or least == float("inf"):
-                break
-            i = ranked.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        """Exact merging: always the adjacent pair of least rank, the first of equals; n log n steps for n bytes.
+
+        A heap holds the ranks of adjacent pairs with their places; an entry counts only if the pair there still has its rank.
+        """
+        get, n = self.ranks.get, len(word)
+        parts: list[bytes] = [word[i : i + 1] for i in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = [get(word[i : i + 2], -1) for i in range(n - 1)] + [-1]
+        heap = [(rank << 40) | i for i, rank in enumerate(pair) if 0 <= rank < below]
+        heapq.heapify(heap)
+        place = (1 << 40) - 1
+        while heap:
+            entry = heapq.heappop(heap)
+            rank, i = entry >> 40, entry & place
+            if pair[i] != rank:
+                continue
+            j = after[i]
+            parts[i] += parts[j]
+            k = after[j]
+            after[i], pair[j], parts[j] = k, -1, b""
+            if k < n:
+                before[k] = i
+                pair[i] = fresh = get(parts[i] + parts[k], -1)
+                if 0 <= fresh < below:
+                    heapq.heappush(heap, (fresh << 40) | i)
+            else:
+                pair[i] = -1
+            h = before[i]
+            if h >= 0:
+                pair[h] = fresh = get(parts[h] + parts[i], -1)
+                if 0 <= fresh < below:
+                    heapq.heappush(heap, (fresh << 40) | h)
+        return [self.ranks[p] for p in parts if p]
 
     def _proposed(self, word: bytes) -> list[int]:
-        """Greedy longest match."""
-        out, at, n = [], 0, len(word)
+        """Greedy longest match; only lengths that tokens with the same first bytes have are tried."""
+        get, out, at, n = self.ranks.get, [], 0, len(word)
         while at < n:
-            for end in range(min(n, at + self.longest), at, -1):
-                rank = self.ranks.get(word[at:end])
+            for length in self.lengths.get(word[at : at + 2], ()):
+                rank = get(word[at : at + length]) if at + length <= n else None
                 if rank is not None:
                     out.append(rank)
-                    at = end
+                    at += length
                     break
+            else:
+                out.append(self.ranks[word[at : at + 1]])
+                at += 1
         return out
 
     def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,9 +149,9 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _encoder(path: str):
+def _encoder(file: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
+        vocab = vocabulary(SparkFiles.get(file))
         known: dict[str, np.ndarray] = {}
         for batch in batches:
             lists = batch.column("words")
@@ -155,4 +187,5 @@ def token_ids(docs: DataFrame, doc_id: str, text: str, name: str = "byte_bpe_50k
     """
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PATTERN), F.lit(0))
     cut = docs.select(F.col(doc_id).cast("long").alias("id"), words.alias("words"))
-    return cut.mapInArrow(_encoder(f"{folder}/{name}.tiktoken"), "id long, ids array<int>")
+    docs.sparkSession.sparkContext.addFile(f"{folder}/{name}.tiktoken")
+    return cut.mapInArrow(_encoder(f"{name}.tiktoken"), "id long, ids array<int>")

@@ -39,7 +39,8 @@ def test_round_trip_and_empty_table(spark):
 
 
 def test_words_are_forgotten_beyond_the_limit(spark, monkeypatch):
-    encode = tokens._encoder(PATH)
+    spark.sparkContext.addFile(PATH)
+    encode = tokens._encoder(os.path.basename(PATH))
     monkeypatch.setattr(tokens, "KEPT_WORDS", 2)
     import pyarrow as pa
 
@@ -47,3 +48,26 @@ def test_words_are_forgotten_beyond_the_limit(spark, monkeypatch):
     got = [b.column("ids").to_pylist()[0] for b in encode(iter(batches))]
     encoder = _reference()
     assert got == [encoder.encode_ordinary(f"w{i}") + encoder.encode_ordinary(" a") + encoder.encode_ordinary(" b") for i in range(4)]
+
+
+def test_long_words_take_n_log_n_steps():
+    import random
+    import time
+
+    vocab, encoder, rnd = tokens.vocabulary(PATH), _reference(), random.Random(1)
+    names = {v: k for k, v in vocab.ranks.items()}
+    some = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4000)).encode()
+    assert vocab._merged(some) == encoder.encode_ordinary(some.decode())
+    for word in ("".join(rnd.choice("etaoinshrd") for _ in range(1_000_000)).encode(), b"a" * 1_000_000):
+        began = time.process_time()
+        ids = vocab.encode([word])[0]
+        assert time.process_time() - began < 20 and b"".join(names[i] for i in ids) == word
+
+
+def test_words_of_every_shape():
+    import random
+
+    vocab, encoder, rnd = tokens.vocabulary(PATH), _reference(), random.Random(2)
+    words = ["".join(rnd.choice(["th", "e", "ing", "er", "z", "q", "an", "st"]) for _ in range(rnd.randint(1, 30))) for _ in range(500)]
+    assert vocab.encode([w.encode() for w in words]) == [encoder.encode_ordinary(w) for w in words]
+    assert [vocab._merged(w.encode()) for w in words] == [encoder.encode_ordinary(w) for w in words]
