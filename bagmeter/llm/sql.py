@@ -240,8 +240,12 @@ select run_id, protocol, bag_size, place, quantifier from (
     "p8_longest": f"""{_PLACED},
 hits as (select doc_id, item_id, d.i, d.i - t.i as diagonal from doc_places d join item_places t using (gram)),
 runs as (select *, i - row_number() over (partition by doc_id, item_id, diagonal order by i) as run from hits),
-lengths as (select doc_id, item_id, count(*) + 11 as n from runs group by doc_id, item_id, diagonal, run)
-select doc_id, item_id, max(n)::int as longest from lengths group by doc_id, item_id""",
+lengths as (
+  select doc_id, item_id, (count(*) + 11)::int as longest, (min(i) - 1)::int as doc_word, (min(i) - 1 - diagonal)::int as item_word
+  from runs group by doc_id, item_id, diagonal, run
+)
+select doc_id, item_id, longest, doc_word, item_word from lengths
+qualify row_number() over (partition by doc_id, item_id order by longest desc, doc_word, item_word) = 1""",
     "p8_clean": f"""{_LEAKS}
 select doc_id, source from documents where doc_id not in (select doc_id from doc_grams join item_grams using (gram))""",
     "p9_stats": f"""{_STATS} select doc_id, lang, n_words, {', '.join(f'round({s}, 9) as {s}' for s in _TAILS if s != 'n_words')} from stats""",
