@@ -17,12 +17,16 @@ AGREE = 17
 TOLERANCE = 0.02
 #: ... of so many.
 WIDTH = 20
-#: Side of a cell; values in one cell make the same shingle.
-CELL = 0.1
-#: Slots of the fixed-size histogram that finds hot buckets, and the rows beyond which a slot is hot.
-SLOTS, HOT = 1 << 16, 4096
+#: Step of the grid whose points are the shingles of a value, and how many points on each side of it belong to the value.
+STEP, REACH = 0.02, 4
+#: Values beyond this are equal where they are within the tolerance.
+FAR = 1e15
+#: Slots of the histogram that tells which buckets may be hot, and the rows beyond which a bucket is.
+SLOTS, HOT = 1 << 20, 4096
+#: Parts into which what is left in a hot bucket's finer buckets is cut for the join.
+SALTS = 8
 #: Candidate pairs are broadcast up to so many rows (16 bytes each), else joined by shuffle.
-BROADCAST_PAIRS = 1_000_000
+BROADCAST_PAIRS = 200_000
 #: Rounding of decimals stored as doubles.
 _EPS = 1e-9
 
@@ -42,34 +46,67 @@ def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
         return z ^ (z >> np.uint64(32))
 
 
-def _chains(x: np.ndarray, rows: np.ndarray, start: np.ndarray, positions: list[int], probe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and hashes of the shingle cells of ``positions``.
+def _points(i: np.ndarray, position: int) -> np.ndarray:
+    """Hashes of grid points of a position: one random order of all shingles."""
+    return _mix(np.full(len(i), position + 1, np.uint64), i.astype(np.int64).view(np.uint64))
+
+
+def _minima(i: np.ndarray, position: int) -> np.ndarray:
+    """Minwise hash of values: the least hash of the grid points within REACH of each."""
+    lo, hi = int(i.min()) - REACH, int(i.max()) + REACH
+    if hi - lo <= 8 * len(i) + 1000:  # neighbouring values share points, so each point is hashed once
+        table = np.lib.stride_tricks.sliding_window_view(_points(np.arange(lo, hi + 1), position), 2 * REACH + 1).min(axis=1)
+        return table[i - (lo + REACH)]
+    out = _points(i - REACH, position)
+    for k in range(1 - REACH, REACH + 1):
+        np.minimum(out, _points(i + k, position), out=out)
+    return out
+
+
+def signature(v: np.ndarray, position: int, probe: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The minima of a position's values, each with a mask of the rows that have it.
+
+    A row has one. With ``probe`` it has those of all values within the tolerance (one or two, mostly), so that it shares one with
+    each row that agrees with it.
+    """
+    far = np.abs(v) >= FAR
+    bits = v.view(np.int64)
+    place = lambda x: np.where(far, bits >> 8, np.floor(np.where(far, 0.0, x) / STEP).astype(np.int64))
+    if not probe:
+        return [(np.ones(len(v), bool), _minima(place(v), position))]
+    lo, hi = place(v - TOLERANCE - 2 * _EPS), place(v + TOLERANCE + 2 * _EPS)
+    out = [(np.ones(len(v), bool), _minima(lo, position))]
+    before = out[0][1]
+    for k in range(1, int((hi - lo).max()) + 1 if len(v) else 0):
+        now = _minima(np.minimum(lo + k, hi), position)
+        out.append(((lo + k <= hi) & (now != before), now))
+        before = now
+    return out
+
+
+def _chains(minima: list, rows: np.ndarray, start: np.ndarray, positions: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and hashes of a band: every combination of the minima that a row has at ``positions``.
 
-    With ``probe`` a row also gets the neighbouring cell of every value that is within the
-    tolerance of a cell's border; then two rows that agree share a hash for certain.
     Rows with a missing value at one of the positions get none.
     """
-    keep = ~np.isnan(x[rows][:, positions]).any(axis=1)
-    rows, h = rows[keep], start[keep]
+    h = start
     for i in positions:
-        v = x[rows, i]
-        cell = np.floor(v / CELL)
-        alternatives = [(np.ones(len(v), bool), cell)]
-        if probe:
-            low, high = np.floor((v - TOLERANCE - _EPS) / CELL), np.floor((v + TOLERANCE + _EPS) / CELL)
-            alternatives += [(low != cell, low), (high != cell, high)]
-        salt = np.uint64(i + 1) << np.uint64(40)
-        parts = [(rows[m], _mix(h[m], c[m].astype(np.int64).view(np.uint64) ^ salt)) for m, c in alternatives]
+        whole, alternatives = minima[i]
+        rows, h = rows[whole[rows]], h[whole[rows]]
+        parts = [(rows[m[rows]], _mix(h[m[rows]], x[rows[m[rows]]])) for m, x in alternatives]
         rows, h = np.concatenate([r for r, _ in parts]), np.concatenate([k for _, k in parts])
     return rows, h
 
 
-def _bucket_rows(hot: frozenset[int] | None):
-    """Bucket keys of each row. Rows in hot slots get finer keys: band and sub-band of the other positions."""
+def _bucket_rows(probe: bool, hot: np.ndarray | None):
+    """Bucket keys of each vector: a band of its minima.
+
+    With ``hot``, the slots that may have hot buckets, only rows of buckets in these come out, with ``fine`` not set, and
+    their finer keys by a second band of the other positions, with ``fine`` set and the bucket as ``parent``.
+    """
     layout = bands()
     others = [[p for p in range(WIDTH) if p not in b] for b in layout]
     finer = [[[int(x) for x in s] for s in np.array_split(np.array(o), WIDTH - AGREE + 1)] for o in others]
-    hot_slots = np.array(sorted(hot or ()), dtype=np.int64)
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,31 +114,41 @@ def _bucket_rows(hot: frozenset[int] | None):
                 continue
             flat = batch.column("features").flatten()
             x = np.array(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, WIDTH)
-            hashes, probing = batch.column("h").to_numpy(), np.asarray(batch.column("probe").to_numpy(zero_copy_only=False))
-            out_rows, out_keys = [], []
-            for probe in (False, True):
-                some = np.flatnonzero(probing == probe)
-                for b, positions in enumerate(layout):
-                    rows, h = _chains(x, some, np.full(len(some), b + 1, np.uint64), positions, probe)
-                    is_hot = np.isin((h % np.uint64(SLOTS)).astype(np.int64), hot_slots)
-                    out_rows.append(rows[~is_hot])
-                    out_keys.append(h[~is_hot])
-                    for s, sub in enumerate(finer[b] if is_hot.any() else []):
-                        r, k = _chains(x, rows[is_hot], _mix(h[is_hot], np.full(is_hot.sum(), s + 101, np.uint64)), sub, probe)
-                        out_rows.append(r)
-                        out_keys.append(k)
-            rows, keys = np.concatenate(out_rows), np.concatenate(out_keys).view(np.int64)
-            # equal vectors of a batch come once to each bucket
-            order = np.lexsort((probing[rows], hashes[rows], keys))
-            rows, keys = rows[order], keys[order]
-            fresh = np.ones(len(rows), bool)
-            fresh[1:] = (keys[1:] != keys[:-1]) | (hashes[rows[1:]] != hashes[rows[:-1]]) | (probing[rows[1:]] != probing[rows[:-1]])
-            rows, keys = rows[fresh], keys[fresh]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(hashes[rows]), pa.array(probing[rows])], ["key", "h", "probe"])
+            hashes = batch.column("h").to_numpy()
+            # equal vectors of a batch are one
+            once = np.unique(hashes, return_index=True)[1]
+            x, hashes = x[once], hashes[once]
+            minima = []
+            for i in range(WIDTH):
+                whole = np.isfinite(x[:, i])
+                minima.append((whole, signature(np.where(whole, x[:, i], 0.0), i, probe)))
+            found = []
+            for b, positions in enumerate(layout):
+                rows, h = _chains(minima, np.arange(len(x)), np.full(len(x), b + 1, np.uint64), positions)
+                if hot is None:
+                    found.append((h, h, rows, False))
+                    continue
+                some = np.isin((h % np.uint64(SLOTS)).astype(np.int64), hot)
+                rows, h = rows[some], h[some]
+                found.append((h, h, rows, False))
+                for s, sub in enumerate(finer[b]):
+                    at, k = _sub(minima, rows, h, s, sub)
+                    found.append((h[at], k, rows[at], True))
+            parent, key, rows = (np.concatenate([f[j] for f in found]) for j in range(3))
+            fine = np.concatenate([np.full(len(f[2]), f[3]) for f in found])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(parent.view(np.int64)), pa.array(key.view(np.int64)), pa.array(fine), pa.array(hashes[rows])], ["parent", "key", "fine", "h"]
+            )
 
     return buckets
 
 
+def _sub(minima: list, rows: np.ndarray, h: np.ndarray, s: int, sub: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Finer keys of the bucket rows ``rows`` with hashes ``h``, and which of them each is of."""
+    own = [(whole[rows], [(m[rows], x[rows]) for m, x in alternatives]) if i in sub else None for i, (whole, alternatives) in enumerate(minima)]
+    return _chains(own, np.arange(len(rows)), _mix(h, np.full(len(h), s + 101, np.uint64)), sub)
+
+
 def comparable(rows: DataFrame, unit: str, split: str, features: str, train: str, others: list[str]) -> DataFrame:
     """One row per unit that can have a near copy: right length, not all values equal."""
     values = F.col(features)
@@ -127,39 +174,89 @@ def _attach(pairs: DataFrame, vectors: DataFrame, of: str, n_pairs: int) -> Data
     return vectors.select(F.col("h").alias(f"{of}_h"), F.col("id").alias(f"{of}_id"), F.col("features").alias(f"{of}_features")).join(side, f"{of}_h")
 
 
+def _buckets(vectors: DataFrame, probe: bool, hot: np.ndarray | None) -> DataFrame:
+    side = vectors.where("probe" if probe else "not probe").select("h", "features")
+    return side.mapInArrow(_bucket_rows(probe, hot), "parent long, key long, fine boolean, h long")
+
+
+def _candidates(vectors: DataFrame) -> DataFrame:
+    """``train_h``, ``other_h``, a written table: hashes of vectors that share a bucket.
+
+    Which buckets are hot is counted exactly, among those in the slots that have so many rows. Rows of hot buckets meet in
+    finer buckets instead, salted, as these may be hot again.
+    """
+    sides = {probe: _buckets(vectors, probe, None) for probe in (False, True)}
+    slot = F.pmod(F.col("key"), F.lit(SLOTS)).cast("int").alias("slot")
+    # at most SLOTS rows reach the driver, whatever the input; keys are hashes, so the slot of a signed key is that of the unsigned one
+    slots = sides[False].select(slot).unionByName(sides[True].select(slot)).groupBy("slot").count().where(F.col("count") > HOT)
+    slots = stage(slots.select("slot"), "hot-slots")
+    hot = np.array(sorted(r["slot"] for r in slots.collect()), np.int64)
+    if len(hot):
+        watched = stage(
+            _buckets(vectors, False, hot).withColumn("probe", F.lit(False)).unionByName(_buckets(vectors, True, hot).withColumn("probe", F.lit(True))), "watched-buckets"
+        )
+        keys = watched.where("not fine").groupBy("key").count().where(F.col("count") > HOT).select(F.col("key").alias("parent"))
+        crowded = stage(keys, "hot-buckets")
+        fine = watched.where("fine").join(crowded, "parent", "left_semi")
+        calm = watched.where("not fine").join(crowded, "parent", "left_anti")
+        spread = F.when(F.col("probe"), F.array(F.pmod(F.xxhash64("h"), F.lit(SALTS)))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
+        salted = fine.withColumn("_s", F.explode(spread)).withColumn("key", F.xxhash64("key", "_s")).drop("_s")
+        rest = calm.unionByName(salted)
+        for probe in (False, True):
+            other = sides[probe].withColumn("slot", slot).join(F.broadcast(slots), "slot", "left_anti")
+            sides[probe] = other.select("key", "h").unionByName(rest.where("probe" if probe else "not probe").select("key", "h"))
+    # distinct within the partitions of the join, so that copies in different batches don't meet more than once
+    left, right = (sides[probe].select("key", "h").repartition("key").dropDuplicates() for probe in (False, True))
+    pairs = left.withColumnRenamed("h", "train_h").join(right.withColumnRenamed("h", "other_h"), "key")
+    return stage(pairs.select("train_h", "other_h").distinct(), "near-pairs")
+
+
+def _agreement(with_train: DataFrame, with_other: DataFrame) -> DataFrame:
+    """Pairs that agree in at least AGREE positions of their exact values, with ``agree`` and ``jaccard``."""
+    agree = _agreeing(F.col("train_features"), F.col("other_features"))
+    checked = with_train.join(with_other, ["train_h", "other_h"]).withColumn("agree", agree).where(F.col("agree") >= AGREE)
+    return checked.withColumn("jaccard", F.col("agree") / (2 * WIDTH - F.col("agree")))
+
+
 def near_copies(rows: DataFrame, unit: str, split: str, features: str, train: str, others: list[str]) -> DataFrame:
     """Pairs ``train_id``, ``other_id``, ``agree``, ``jaccard`` of a training row and a row of another split.
 
-    Minwise hashing with one permutation and a bin for each position: the shingle of a
-    position is the cell its value falls in, the signature has the hash of each bin, and
-    bands of it make buckets. There is one band more than a pair may have differing
-    positions, and the rows that probe also take the neighbouring cells near a border,
-    so every true pair meets in a bucket. Buckets in hot slots are cut finer by a
+    Minwise hashing in one permutation with a bin for each position: the shingles of a value are the points of a fine grid around it, the
+    signature has for each position the shingle with the least hash, and bands of it make buckets. There is one band more
+    than a pair may have differing positions, and the rows that probe take the minima of all values within the tolerance,
+    so every true pair meets in a bucket: the recall is 1, not a matter of chance. Hot buckets are cut finer by a
     second band of the other positions, which loses nothing either. Only pairs of a
     training row and another row are formed. Buckets hold hashes of whole vectors, so copies of
     one vector, however many, are one entry; they are told apart when a pair is checked on the exact
     values: agreement m of 20 is an exact Jaccard similarity of m / (40 - m).
 
-    A null or NaN agrees with nothing; lists of another length, null lists and vectors of equal
+    A null, NaN or infinite value agrees with nothing; lists of another length, null lists and vectors of equal
     values have no pair; rows delivered more than once count once; no input gives no rows. Other columns aren't read.
     """
     vectors = comparable(rows, unit, split, features, train, others)
-    once = "key long, h long, probe boolean"
-    first = vectors.select("h", "probe", "features").mapInArrow(_bucket_rows(None), once)
-    # at most SLOTS rows reach the driver, whatever the input
-    slots = first.groupBy(F.pmod(F.col("key"), F.lit(SLOTS)).cast("int").alias("slot")).count().where(F.col("count") > HOT)
-    hot = frozenset(r["slot"] for r in slots.select("slot").collect())
-    keyed = vectors.select("h", "probe", "features").mapInArrow(_bucket_rows(hot), once) if hot else first
-    left = keyed.where("not probe").select("key", F.col("h").alias("train_h"))
-    right = keyed.where("probe").select("key", F.col("h").alias("other_h"))
-    pairs = stage(left.join(right, "key").select("train_h", "other_h").distinct(), "near-pairs")
+    pairs = _candidates(vectors)
     n = pairs.count()
-    with_train = _attach(pairs, vectors.where("not probe"), "train", n)
-    with_other = _attach(pairs, vectors.where("probe"), "other", n)
-    checked = (
-        with_train.join(with_other, ["train_h", "other_h"])
-        .withColumn("agree", _agreeing(F.col("train_features"), F.col("other_features")))
-        .where(F.col("agree") >= AGREE)
-        .select("train_id", "other_id", "agree", (F.col("agree") / (2 * WIDTH - F.col("agree"))).alias("jaccard"))
+    found = _agreement(_attach(pairs, vectors.where("not probe"), "train", n), _attach(pairs, vectors.where("probe"), "other", n))
+    return found.select("train_id", "other_id", "agree", "jaccard").distinct()
+
+
+def copy_report(rows: DataFrame, unit: str, split: str, features: str, train: str, others: list[str], by: list[str]) -> DataFrame:
+    """``by``, ``pairs``, ``units``, ``best_jaccard``: the pairs of :func:`near_copies` by columns of the other row.
+
+    Equal vectors are classes with counts on both sides, so a vector with many copies is one row here, not one for each pair.
+    Rows delivered more than once count once, with the columns ``by`` of one of them.
+    """
+    vectors = comparable(rows, unit, split, features, train, others)
+    pairs = _candidates(vectors)
+    n = pairs.count()
+    classes = _attach(pairs, vectors.where("not probe"), "train", n).groupBy("train_h", "other_h", "train_features").agg(F.countDistinct("train_id").alias("n_train"))
+    asked = rows.where(F.col(split).isin(*others) & F.col(unit).isNotNull()).select(F.col(unit).cast("long").alias("other_id"), *by).dropDuplicates(["other_id"])
+    members = _attach(pairs, vectors.where("probe"), "other", n).distinct().join(asked, "other_id")
+    others_ = members.groupBy("train_h", "other_h", "other_features", *by).agg(F.count("*").alias("n_other"))
+    found = _agreement(classes, others_)
+    per_class = found.groupBy("other_h", "other_features", *by).agg(
+        F.sum("n_train").alias("n_train"), F.max("n_other").alias("n_other"), F.max("jaccard").alias("best")
+    )
+    return per_class.groupBy(*by).agg(
+        F.sum(F.col("n_train") * F.col("n_other")).alias("pairs"), F.sum("n_other").alias("units"), F.max("best").alias("best_jaccard")
     )
-    return checked.distinct()

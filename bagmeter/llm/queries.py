@@ -75,24 +75,17 @@ def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 2: same or near-same beats across splits --------------------------------------------
 
 
-def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies.near_copies(table(spark, sf_dir, "instances"), "instance_id", "split", "features", "train", ["valid", "test"])
+_COPIES = ("instance_id", "split", "features", "train", ["valid", "test"])
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _copies(spark, sf_dir).select(
+    return near_copies.near_copies(table(spark, sf_dir, "instances"), *_COPIES).select(
         F.least("train_id", "other_id").alias("instance_a"), F.greatest("train_id", "other_id").alias("instance_b")
     )
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = table(spark, sf_dir, "instances").select(F.col("instance_id").alias("other_id"), "split", "source").dropDuplicates(["other_id"])
-    return (
-        _copies(spark, sf_dir)
-        .join(where, "other_id")
-        .groupBy("split", "source")
-        .agg(F.count("*").alias("pairs"), F.countDistinct("other_id").alias("beats"), F.max("jaccard").alias("best_jaccard"))
-    )
+    return near_copies.copy_report(table(spark, sf_dir, "instances"), *_COPIES, ["split", "source"]).withColumnRenamed("units", "beats")
 
 
 # ---- 3: percentiles ----------------------------------------------------------------------

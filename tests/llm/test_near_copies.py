@@ -40,9 +40,10 @@ def _found(spark, rows):
     return {(r["train_id"], r["other_id"]) for r in near_copies.near_copies(df, "unit", "split", "features", "train", ["valid", "test"]).collect()}
 
 
-@pytest.mark.parametrize("hot", [4096, 0])
+@pytest.mark.parametrize("hot", [4096, 6, 0])
 def test_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(near_copies, "HOT", hot)
+    monkeypatch.setattr(near_copies, "SLOTS", 1 << 10)
     rows = _rows()
     want = _brute(rows)
     assert len(want) > 50 and _found(spark, rows) == want
@@ -67,3 +68,35 @@ def test_many_copies_of_one_vector(spark):
     b = [v + 0.01 for v in a]
     rows = [(i, "train", a, 0, "") for i in range(400)] + [(1000 + i, "test", b, 0, "") for i in range(3)] + [(2000 + i, "train", b, 0, "") for i in range(5)]
     assert _found(spark, rows) == {(t, o) for t in [*range(400), *range(2000, 2005)] for o in range(1000, 1003)}
+
+
+def test_minima_are_shared_within_the_tolerance():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    for scale in (1.0, 1e-3, 1e6, 1e14, 1e15, 1e300):
+        x = rnd.normal(0, scale, 3000)
+        y = np.clip(x + rnd.choice([-0.02, 0.02, 0.011, 0.0], 3000), x - 0.02, x + 0.02)
+        agree = np.abs(x - y) <= 0.02 + 1e-9
+        (_, own), *_ = near_copies.signature(y, 3, False)
+        shared = np.zeros(3000, bool)
+        for mask, minimum in near_copies.signature(x, 3, True):
+            shared |= mask & (minimum == own)
+        assert shared[agree].all() and agree.sum() > 500
+    far = near_copies.signature(np.arange(1000.0), 3, False)[0][1]
+    assert len(set(far.tolist())) > 900  # values that are apart have other minima
+    assert near_copies._minima(np.array([0, 10**15]), 3).tolist() == [near_copies._minima(np.array([i]), 3)[0] for i in (0, 10**15)]
+
+
+def test_report_counts_pairs_by_class(spark):
+    rows = _rows(3) + [(5000 + i, "train", _rows(3)[0][2], 0, "") for i in range(50)]
+    rows = [r for r in rows] + rows[:10]
+    where = {r[0]: r[1] for r in rows}
+    want = {}
+    for _, o in _brute(rows):
+        pairs, units = want.setdefault(where[o], [0, set()])
+        want[where[o]][0] += 1
+        units.add(o)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r["split"]: (r["pairs"], r["units"]) for r in near_copies.copy_report(df, "unit", "split", "features", "train", ["valid", "test"], ["split"]).collect()}
+    assert got == {k: (n, len(u)) for k, (n, u) in want.items()}
