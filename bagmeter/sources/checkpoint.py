@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bagmeter.sources import files
+
 
 class ExperimentCheckpoint:
     """Results of an experiment by unit, with the configuration they belong to.
@@ -19,22 +19,16 @@ class ExperimentCheckpoint:
     """
 
     def __init__(self, spark: SparkSession, root: str, fresh: bool = False) -> None:
-        self.spark, self.root = spark, Path(root)
-        if fresh and self._manifest.exists():
-            self._manifest.unlink()
-        self.root.mkdir(parents=True, exist_ok=True)
-
-    @property
-    def _manifest(self) -> Path:
-        return self.root / "manifest.json"
+        self.spark, self.root = spark, root.rstrip("/")
+        self._manifest = f"{self.root}/manifest.json"
+        if fresh:
+            files.delete(spark, self._manifest)
 
     def _state(self) -> dict:
-        return json.loads(self._manifest.read_text()) if self._manifest.exists() else {"config": None, "done": {}}
+        return files.read_json(self.spark, self._manifest) or {"config": None, "done": {}}
 
     def _save(self, state: dict) -> None:
-        fresh = self._manifest.with_suffix(".tmp")
-        fresh.write_text(json.dumps(state, indent=1, sort_keys=True))
-        os.replace(fresh, self._manifest)
+        files.write_json(self.spark, self._manifest, state)
 
     def record_config(self, config: dict) -> None:
         """Keep the configuration, or raise if the results so far belong to another one."""
@@ -54,7 +48,7 @@ class ExperimentCheckpoint:
     def save(self, rows: DataFrame, *unit: object) -> None:
         """Write the rows of a unit, then mark it; doing it again replaces them."""
         at = f"units/{self.key(*unit)}"
-        rows.write.mode("overwrite").parquet(str(self.root / at))
+        rows.write.mode("overwrite").parquet(f"{self.root}/{at}")
         state = self._state()
         state["done"][self.key(*unit)] = {"unit": list(map(str, unit)), "path": at}
         self._save(state)
@@ -63,7 +57,7 @@ class ExperimentCheckpoint:
         """Rows of all finished units; columns that a unit lacks are null."""
         out = None
         for entry in self._state()["done"].values():
-            part = self.spark.read.parquet(str(self.root / entry["path"]))
+            part = self.spark.read.parquet(f"{self.root}/{entry['path']}")
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out
 

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import datetime
-import json
 from abc import ABC, abstractmethod
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bagmeter.sources import files as files_
+
 #: Columns of a bag result file.
 RESULT_SCHEMA = T.StructType(
     [
@@ -33,13 +33,14 @@ class Source(ABC):
 
     def ingest(self, spark: SparkSession, target: str, overwrite: bool = False) -> dict:
         """Write the records as parquet with a manifest of their number and time; returns the manifest."""
-        at = Path(target, "manifest.json")
-        if at.exists() and not overwrite:
-            return json.loads(at.read_text())
+        at = f"{target}/manifest.json"
+        known = files_.read_json(spark, at)
+        if known is not None and not overwrite:
+            return known
         self.load(spark).write.mode("overwrite").parquet(f"{target}/records")
         n = spark.read.parquet(f"{target}/records").count()
         manifest = {"name": self.name, "n_records": n, "written_at": datetime.datetime.now(datetime.UTC).isoformat()}
-        at.write_text(json.dumps(manifest, indent=1))
+        files_.write_json(spark, at, manifest)
         return manifest
 
 

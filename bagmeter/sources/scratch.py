@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bagmeter.sources.files import place
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -36,16 +38,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[key]}"
 
 
-def _place(spark: SparkSession, path: str):
-    """The file system and path object of a scratch table."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nobody else uses; it is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    files, target = _place(spark, path)
+    files, target = place(spark, path)
     files.mkdirs(target)
     files.deleteOnExit(target)
     return path
@@ -66,5 +62,5 @@ def drop(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_scratch_path", None)
         if path:
-            files, target = _place(df.sparkSession, path)
+            files, target = place(df.sparkSession, path)
             files.delete(target, True)

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from bagmeter.sources import bundle, checkpoint, manifest, scratch
+from bagmeter.sources import bundle, checkpoint, files, manifest, scratch, store
 from bagmeter.streaming import prevalence
 
 
@@ -66,7 +66,7 @@ def test_bundle_round_trip(spark, tmp_path):
     instances = spark.createDataFrame([(1, "N", "test"), (2, "V", "test"), (3, "N", "train")], "instance_id long, y string, split string")
     members = spark.createDataFrame([(2, 0, 0, 1), (2, 0, 1, 2)], "bag_size int, bag_index int, pos int, instance_id long")
     truth = spark.createDataFrame([(2, 0, "N", 0.5), (2, 0, "V", 0.5)], "bag_size int, bag_index int, label string, prevalence double")
-    results = spark.createDataFrame([(0, 0.1)], "bag_index int, mae double")
+    results = spark.createDataFrame([("CC", 0, 0.1)], "quantifier string, bag_index int, mae double")
     scores = spark.createDataFrame([(1, 0.25)], "instance_id long, p double")
     tables = {"instances": instances, "bag_members": members, "bag_truth": truth, "results": results, "scores": scores}
     bundle.export_bundle(str(tmp_path), "one", tables, {"seed": 7})
@@ -77,6 +77,15 @@ def test_bundle_round_trip(spark, tmp_path):
     assert dict(read.table("scores").dtypes)["p"] == "float"
     with pytest.raises(KeyError):
         read.owner("nothing")
+    assert read.quantifiers() == ["CC"] and read.changed_environment() == {} and read.damaged() == []
+    assert [(r["bag_size"], r["prevalence"]) for r in read.bags().collect()] == [(2, {"N": 0.5, "V": 0.5})]
+    assert [(r["instance_id"], r["y"], r["p"]) for r in read.instance_outputs("test").collect()] == [(1, "N", 0.25)]
+    read.index["environment"]["spark"] = "0"
+    assert list(read.changed_environment()) == ["spark"]
+    truth.limit(1).write.mode("overwrite").parquet(str(tmp_path / "one/bag_truth"))
+    assert read.damaged() == ["one/bag_truth"]
+    with pytest.raises(FileNotFoundError):
+        bundle.ExportedBundle(spark, str(tmp_path / "none"))
     wrong = truth.withColumn("prevalence", F.lit(0.9))
     with pytest.raises(ValueError):
         bundle.export_bundle(str(tmp_path), "three", tables | {"bag_truth": wrong}, {})
@@ -136,3 +145,30 @@ def test_pipeline_end_to_end(spark, tmp_path):
     pipeline.make_bundle(spark, data, str(tmp_path))
     assert bundle.ExportedBundle(spark, str(tmp_path / "bundle")).table("bag_members").count() > 0
     assert pipeline.prepare_splits(spark, data, str(tmp_path)).select("split").distinct().count() == 2
+
+
+def test_small_files(spark, tmp_path):
+    at = f"file://{tmp_path}/deep/x.json"
+    assert files.read_json(spark, at) is None and files.names(spark, f"file://{tmp_path}/deep") == []
+    for content in ({"a": [1, "é"]}, {"a": 2}):
+        files.write_json(spark, at, content)
+        assert files.read_json(spark, at) == content
+    assert files.exists(spark, at) and "x.json" in files.names(spark, f"file://{tmp_path}/deep")
+    files.delete(spark, at)
+    assert not files.exists(spark, at)
+
+
+def test_store_makes_each_artifact_once(spark, tmp_path):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import SQLTransformer
+
+    kept, made = store.ArtifactStore(spark, f"file://{tmp_path}/store"), []
+    make = lambda: made.append(1) or spark.range(3)
+    fit = lambda: made.append(2) or Pipeline(stages=[SQLTransformer(statement="select id + 1 as j from __THIS__")]).fit(spark.range(1))
+    for _ in range(2):
+        assert kept.table(make, "scores", {"seed": 1}).count() == 3
+        assert kept.model(fit, "lr").transform(spark.range(2)).agg(F.sum("j")).first()[0] == 3
+        assert kept.record(lambda: made.append(3) or {"t": 0.5}, "temperature", 7) == {"t": 0.5}
+    assert made == [1, 2, 3] and sorted(e["kind"] for e in kept.entries()) == ["model", "record", "table"]
+    kept.drop("scores", {"seed": 1})
+    assert not kept.has("scores", {"seed": 1}) and kept.has("lr")
