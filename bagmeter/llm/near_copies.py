@@ -18,15 +18,15 @@ TOLERANCE = 0.02
 #: ... of so many.
 WIDTH = 20
 #: Step of the grid whose points are the shingles of a value, and how many points on each side of it belong to the value.
-STEP, REACH = 0.02, 4
+STEP, REACH = 0.02, 3
 #: Values beyond this are equal where they are within the tolerance.
 FAR = 1e15
 #: Slots of the histogram that tells which buckets may be hot, and the rows beyond which a bucket is.
-SLOTS, HOT = 1 << 20, 4096
+SLOTS, HOT = 1 << 16, 4096
 #: Parts into which what is left in a hot bucket's finer buckets is cut for the join.
 SALTS = 8
 #: Candidate pairs are broadcast up to so many rows (16 bytes each), else joined by shuffle.
-BROADCAST_PAIRS = 200_000
+BROADCAST_PAIRS = 1_000_000
 #: Rounding of decimals stored as doubles.
 _EPS = 1e-9
 
