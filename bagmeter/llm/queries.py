@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bagmeter.functions.text import canonical_id, known_id, plain_name, strip_blanks
 from bagmeter.llm import groups, leaks, near_copies, quality, quantiles, quota, tokens, topn
 from bagmeter.llm.sql import SQL  # noqa: F401
+from bagmeter.sources.scratch import new_path, stage
 from bagmeter.sources.tables import table
 
 # ---- 1: samples that match target shares -------------------------------------------------
@@ -155,9 +156,17 @@ def _presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _component_table(spark: SparkSession, nodes: DataFrame, patients: DataFrame, links: DataFrame) -> groups.ComponentTable:
+    """Two batches: records with their patients, then the links."""
+    kept = groups.ComponentTable(spark, new_path(spark, "p4-components"))
+    kept.add(nodes, patients)
+    kept.add(nodes.where("false"), links)
+    return kept
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, patients, links, _ = _record_graph(spark, sf_dir)
-    components = groups.grow_components(None, nodes, patients.unionByName(links))
+    components = _component_table(spark, nodes, patients, links).at(-1)
     torn = groups.small(groups.in_conflict(groups.component_splits(components, _presence(spark, sf_dir))).select("root"))
     return (
         components.join(nodes.distinct(), "node", "left_semi")
@@ -166,11 +175,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _assigned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes, patients, links, beats = _record_graph(spark, sf_dir)
-    before = groups.grow_components(None, nodes, patients)
-    after = groups.grow_components(before, nodes, links)
-    splits = groups.assign_splits(before, after, beats, SHARES)
+    kept, beats = _component_table(spark, nodes, patients, links), stage(beats, "held")
+    return kept.at(-1), groups.assign_splits(kept.at(-2), kept.at(-1), beats, SHARES), beats
+
+
+def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after, splits, _ = _assigned(spark, sf_dir)
     return (
         after.where("node not like '~%'")
         .join(splits, "root")
@@ -178,6 +190,11 @@ def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p4_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after, splits, beats = _assigned(spark, sf_dir)
+    return groups.reached_shares(after, splits, beats, SHARES).withColumn("reached", F.round("reached", 9))
+
+
 # ---- 5: top N ----------------------------------------------------------------------------
 
 #: Places reported.
@@ -243,7 +260,7 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_percentiles, p3_merged_days, p4_found, p4_splits,
+        p1_found, p1_report, p1_sample, p2_found, p2_report, p3_found, p3_percentiles, p3_merged_days, p4_found, p4_splits, p4_shares,
         p5_found, p7_ids, p8_found, p8_longest, p8_clean, p9_found, p9_stats, p9_scores,
     )
 }

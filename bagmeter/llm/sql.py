@@ -270,3 +270,73 @@ walks as (
 ),
 places as (select protocol, bag_size, bag_index, source, label, (start + i * stride) % size as rank from (select *, unnest(range(allotted)) as i from walks))
 select p.protocol, p.bag_size, p.bag_index, p.source, p.label, instance_id from places p join ranked r on p.source = r.source and p.label = r.label and p.rank = r.rank"""
+
+_ASSIGNED = f"""
+with recursive
+recs0 as (select {_id('record_id')} as node, {_id('patient_id')} as patient from records),
+edges1 as (select node as a, '~' || patient as b from recs0 where patient is not null and not regexp_matches(patient, '-(0+|9999999)$')),
+edges2 as (
+  select a, b from edges1 where a is not null union select {_id('record_a')}, {_id('record_b')} from record_links where record_a is not null and record_b is not null
+),
+recs as (select node from recs0 where node is not null union select a from edges2 where a <> b union select b from edges2 where a <> b),
+both1 as (select a, b from edges1 where a <> b union select b, a from edges1 where a <> b),
+both2 as (select a, b from edges2 where a <> b union select b, a from edges2 where a <> b),
+reach1 as (select node, node as seen from recs union select r.node, e.b from reach1 r join both1 e on r.seen = e.a),
+reach2 as (select node, node as seen from recs union select r.node, e.b from reach2 r join both2 e on r.seen = e.a),
+before as (select node, min(seen) as root from reach1 group by node),
+after as (select node, min(seen) as root from reach2 group by node),
+held as (
+  select {_id('record_id')} as node, {_TRIM.format('y')} as label, split, count(*) as n
+  from (select distinct record_id, y, split, instance_id from instances where instance_id is not null) group by all having node is not null
+),
+old as (
+  select b.root as node, sum(n) filter (split = 'train') as a, sum(n) filter (split = 'valid') as b, sum(n) filter (split = 'test') as c
+  from before b join held using (node) where split is not null group by b.root
+),
+counts as (
+  select a.root, coalesce(sum(n) filter (split = 'train'), 0) as n_train, coalesce(sum(n) filter (split = 'valid'), 0) as n_valid,
+    coalesce(sum(n) filter (split = 'test'), 0) as n_test from after a left join held using (node) group by a.root
+),
+olds as (
+  select a.root, case greatest(coalesce(o.a, 0), coalesce(o.b, 0), coalesce(o.c, 0)) when coalesce(o.a, 0) then 'train' when coalesce(o.b, 0) then 'valid' else 'test' end as split
+  from old o join after a using (node) where coalesce(o.a, 0) + coalesce(o.b, 0) + coalesce(o.c, 0) > 0
+),
+met as (select root from olds group by root having count(distinct split) > 1),
+settled as (
+  select root, case greatest(n_train, n_valid, n_test) when n_train then 'train' when n_valid then 'valid' else 'test' end as split,
+    case when (n_train > 0)::int + (n_valid > 0)::int + (n_test > 0)::int > 1 or root in (select root from met) then 'quarantined' else 'kept' end as status
+  from counts where n_train + n_valid + n_test > 0
+),
+by_label as (select root, label, sum(n) as n from held join after using (node) group by root, label),
+present as (
+  select label, sum(n) filter (split = 'train') as a, sum(n) filter (split = 'valid') as b, sum(n) filter (split = 'test') as c
+  from by_label join settled using (root) group by label
+),
+lacks as (
+  select t.label, greatest(0, total * 0.7::double - coalesce(a, 0)) as a, greatest(0, total * 0.1::double - coalesce(b, 0)) as b,
+    greatest(0, total * 0.2::double - coalesce(c, 0)) as c
+  from (select label, sum(n)::double as total from by_label group by label) t left join present p on t.label is not distinct from p.label
+),
+laid as (
+  select root, m.l as label, coalesce(n, 0) + 1e-9::double as weight, {uniform_sql(0, "'fill'", "root")} as u
+  from (select root from counts where n_train + n_valid + n_test = 0)
+  left join (select root, max({{'n': n, 'l': label}}) as m, sum(n) as n from by_label group by root) using (root)
+),
+spots as (
+  select root, label, (sum(weight) over (partition by label order by u, root rows between unbounded preceding and current row) - weight / 2)
+    / sum(weight) over (partition by label) as spot from laid
+),
+filled as (
+  select root, case when spot < case when a + b + c > 0 then a / (a + b + c) else 0.7::double end then 'train'
+    when spot < case when a + b + c > 0 then (a + b) / (a + b + c) else 0.7::double + 0.1::double end then 'valid' else 'test' end as split, 'filled' as status
+  from spots s left join lacks l on s.label is not distinct from l.label
+),
+splits as (select * from settled union all select * from filled)"""
+SQL["p4_splits"] = f"""{_ASSIGNED}
+select node as record_id, root as group_id, split, status from after join splits using (root) where not starts_with(node, '~')"""
+SQL["p4_shares"] = f"""{_ASSIGNED},
+cells as (select label, split, sum(n) as n from by_label join splits using (root) group by label, split),
+wanted as (select unnest(['train', 'valid', 'test']) as split, unnest([0.7, 0.1, 0.2])::double as asked)
+select l.label, w.split, coalesce(c.n, 0)::bigint as n, asked, round(coalesce(c.n, 0) / l.total, 9) as reached
+from (select label, sum(n)::double as total from by_label group by label) l cross join wanted w
+left join cells c on l.label is not distinct from c.label and w.split = c.split"""
