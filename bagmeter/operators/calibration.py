@@ -83,9 +83,14 @@ def apply_platt(df: DataFrame, keys: list[str], models: dict[tuple, tuple[float,
 
 
 def isotonic(df: DataFrame, apply: DataFrame, label: str) -> DataFrame:
-    """``apply`` rows of one label with ``q``: isotonic regression of the truth on the score."""
-    fit = df.where(F.col("label") == label).select(array_to_vector(F.array("p")).alias("x"), F.col("is_true").cast("double").alias("t"))
-    model = IsotonicRegression(featuresCol="x", labelCol="t", predictionCol="q").fit(fit)
+    """``apply`` rows of one label with ``q``: isotonic regression of the truth on the score.
+
+    Rows of one score are one weighted point, which leaves the fit as it is; scores have six decimals, so there are a
+    million points at most.
+    """
+    points = df.where(F.col("label") == label).groupBy(F.round("p", 6).alias("p")).agg(F.avg(F.col("is_true").cast("double")).alias("t"), F.count("*").cast("double").alias("w"))
+    fit = points.select(array_to_vector(F.array("p")).alias("x"), "t", "w")
+    model = IsotonicRegression(featuresCol="x", labelCol="t", predictionCol="q", weightCol="w").fit(fit)
     return model.transform(apply.where(F.col("label") == label).withColumn("x", array_to_vector(F.array("p")))).drop("x")
 
 

@@ -12,8 +12,13 @@ before the estimates of a bag are normalized.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Thresholds of the threshold family: 0, 0.01, ... 1.
 STEPS = 100
@@ -142,19 +147,40 @@ def threshold(bag_scores: DataFrame, oof: DataFrame, keys: list[str], rule: str)
     )
 
 
+def _solved(df: DataFrame, keys: list[str], columns: list[str], solve: Callable[[str, list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """``keys``, ``label``, ``p_pred``: ``solve`` of the arrays in ``columns``, for all rows of an Arrow batch with one label at once."""
+    fields = [*(df.schema[k] for k in keys), T.StructField("label", T.StringType()), T.StructField("p_pred", T.DoubleType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            arrays = [batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1) for c in columns]
+            named = np.array(batch.column("label").to_pylist(), dtype=object)
+            out = np.zeros(batch.num_rows)
+            for label in set(named):
+                mine = np.flatnonzero(named == label)
+                out[mine] = solve(label, [x[mine] for x in arrays])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("label"), pa.array(out)], [*keys, "label", "p_pred"])
+
+    return df.select(*keys, "label", *columns).mapInArrow(run, T.StructType(fields))
+
+
 def median_sweep(bag_scores: DataFrame, oof: DataFrame, keys: list[str], gap: float = SWEEP_GAP) -> DataFrame:
     """Median of the adjusted counts over all thresholds whose rates differ by more than ``gap``; 0 where none do."""
-    usable = roc(oof).where(F.col("tpr") - F.col("fpr") > gap)
-    curves = class_table(usable.groupBy("label").agg(F.collect_list(F.struct("step", "tpr", "fpr")).alias("curve")))
-    each = F.array_sort(F.transform("curve", lambda t: adjusted(_share_reaching(t["step"]), t["tpr"], t["fpr"])))
-    n = F.size("each")
-    middle = (F.element_at("each", F.floor((n + 1) / 2).cast("int")) + F.element_at("each", F.floor(n / 2).cast("int") + 1)) / 2
-    return (
-        bag_reach(bag_scores, keys)
-        .join(curves, "label", "left")
-        .select(*keys, "label", each.alias("each"))
-        .select(*keys, "label", F.when(n > 0, middle).otherwise(F.lit(0.0)).alias("p_pred"))
-    )
+    curves: dict[str, list] = {}
+    for r in roc(oof).where(F.col("tpr") - F.col("fpr") > gap).collect():  # one row per class and threshold at most
+        curves.setdefault(r["label"], []).append((r["step"], r["tpr"], r["fpr"]))
+
+    def solve(label: str, arrays: list[np.ndarray]) -> np.ndarray:
+        reaching = arrays[0][:, ::-1].cumsum(axis=1)[:, ::-1] / arrays[1]
+        if label not in curves:
+            return np.zeros(len(reaching))
+        step, tpr, fpr = (np.array(c) for c in zip(*curves[label]))
+        return np.median(np.clip((reaching[:, step.astype(int)] - fpr) / (tpr - fpr), 0.0, 1.0), axis=1)
+
+    held = bag_reach(bag_scores, keys).withColumn("sizes", F.array("size"))
+    return _solved(held, keys, ["counts", "sizes"], solve)
 
 
 def _histogram(df: DataFrame, keys: list[str], bins: int, weight: Column, name: str) -> DataFrame:
@@ -166,57 +192,54 @@ def _histogram(df: DataFrame, keys: list[str], bins: int, weight: Column, name:
     return whole.select(*keys, share.alias(name))
 
 
-def _zip3(f) -> Column:
-    """Sum over bins of f(test, pos, neg)."""
-    rows = F.arrays_zip("test", "pos", "neg")
-    return F.aggregate(rows, F.lit(0.0), lambda s, r: s + f(r["test"], r["pos"], r["neg"]))
-
-
-def _hellinger(a: Column) -> Column:
-    """Squared Hellinger distance without its constant; it has the same minimum."""
-    return _zip3(lambda t, p, n: -F.sqrt(t * (a * p + (1 - a) * n)))
+def _hellinger(test: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """Squared Hellinger distances without their constant; they have the same minimum."""
+    return -np.sqrt(test) @ np.sqrt(mixed).T
 
 
-def _topsoe(a: Column) -> Column:
-    def term(t: Column, p: Column, n: Column) -> Column:
-        m = a * p + (1 - a) * n
-        part = lambda x: F.when(x > 0, x * F.log(2 * x / F.nullif(t + m, F.lit(0.0)))).otherwise(0.0)
-        return part(t) + part(m)
+def _topsoe(test: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    t, m = test[:, None, :], mixed[None, :, :]
+    part = lambda x: np.where(x > 0, x * np.log(2 * np.where(x > 0, x, 1.0) / np.where(x > 0, t + m, 2.0)), 0.0)
+    return (part(t + 0 * m) + part(m + 0 * t)).sum(axis=2)
 
-    return _zip3(term)
 
-
-def _l1_cdf(a: Column) -> Column:
-    return _zip3(lambda t, p, n: F.abs(t - (a * p + (1 - a) * n)))
+def _l1_cdf(test: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    return np.abs(test.cumsum(axis=1)[:, None, :] - mixed.cumsum(axis=1)[None, :, :]).sum(axis=2)
 
 
 DISTANCES = {"hellinger": _hellinger, "topsoe": _topsoe, "cdf": _l1_cdf}
+#: Bags whose distances to all mixtures are computed at once.
+TILE = 1024
 
 
-def matched(bag_scores: DataFrame, oof: DataFrame, keys: list[str], distance: str, bins: int) -> DataFrame:
+def matched(bag_scores: DataFrame, oof: DataFrame, keys: list[str], distance: str, bins: int | tuple[int, ...]) -> DataFrame:
     """The mixture of the positive and negative score distributions nearest to the bag's, on a grid of 101 shares.
 
-    ``distance``: hellinger (HDy), topsoe (DyS) or cdf (the mixture of cumulative distributions). The least share of equals.
+    ``distance``: hellinger (HDy), topsoe (DyS) or cdf (the mixture of cumulative distributions). The least share of equals. With several
+    numbers of ``bins``, each of which divides the greatest, the median over them: one histogram is taken and its bins are merged.
     """
-    pos = _histogram(oof, ["label"], bins, F.col("is_true"), "pos")
-    neg = _histogram(oof, ["label"], bins, 1 - F.col("is_true"), "neg")
-    classes = class_table(pos.join(neg, "label"))
-    joined = _histogram(bag_scores, [*keys, "label"], bins, F.lit(1), "test").join(classes, "label")
-    if distance == "cdf":
-        for c in ("test", "pos", "neg"):
-            joined = joined.withColumn(c, _cumulative(F.col(c), bins))
-    grid = F.transform(F.sequence(F.lit(0), F.lit(ALPHAS)), lambda i: F.struct(F.round(DISTANCES[distance](i / ALPHAS), 9).alias("d"), i.alias("i")))
-    return joined.select(*keys, "label", (F.array_min(grid)["i"] / ALPHAS).alias("p_pred"))
-
-
-def _cumulative(a: Column, bins: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(bins)), lambda k: F.aggregate(F.slice(a, F.lit(1), k), F.lit(0.0), lambda s, x: s + x))
+    each = (bins,) if isinstance(bins, int) else bins
+    finest = max(each)
+    pos = _histogram(oof, ["label"], finest, F.col("is_true"), "pos")
+    neg = _histogram(oof, ["label"], finest, 1 - F.col("is_true"), "neg")
+    shares = np.arange(ALPHAS + 1)[:, None] / ALPHAS
+    merged = lambda x, b: x.reshape(len(x), b, finest // b).sum(axis=2)
+    classes = {r["label"]: (np.array([r["pos"]]), np.array([r["neg"]])) for r in pos.join(neg, "label").collect()}
+    mixtures = {c: [shares * merged(p, b) + (1 - shares) * merged(n, b) for b in each] for c, (p, n) in classes.items()}
+
+    def solve(label: str, arrays: list[np.ndarray]) -> np.ndarray:
+        test = arrays[0]
+        best = np.zeros((len(each), len(test)))
+        for i, b in enumerate(each):
+            for at in range(0, len(test), TILE):
+                far = DISTANCES[distance](merged(test[at : at + TILE], b), mixtures[label][i])
+                best[i, at : at + TILE] = np.round(far, 9).argmin(axis=1) / ALPHAS
+        return np.median(best, axis=0)
+
+    held = _histogram(bag_scores, [*keys, "label"], finest, F.lit(1), "test").where(F.col("label").isin(*classes))
+    return _solved(held, keys, ["test"], solve)
 
 
 def hdy(bag_scores: DataFrame, oof: DataFrame, keys: list[str], bins: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """Median over an odd number of bin counts of the Hellinger match."""
-    parts = [matched(bag_scores, oof, keys, "hellinger", b) for b in bins]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy(*keys, "label").agg(F.percentile("p_pred", F.lit(0.5)).alias("p_pred"))
+    return matched(bag_scores, oof, keys, "hellinger", bins)

@@ -2,13 +2,13 @@
 
 Everything that depends on the training data is an aggregation to a small table of class
 statistics. What a bag contributes is aggregated too where a few numbers suffice (confusion
-shares, histograms); only EM and the cost-sensitive threshold read a bag's scores themselves,
-and they count equal scores first, so a bag's group is bounded by its distinct scores.
+shares, histograms); only EM and the cost-sensitive threshold read a bag's scores themselves.
+They count equal scores first, and EM takes bags beyond a size by aggregations, so no group is unbounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,8 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagmeter.config import LABELS
+from bagmeter.functions.ranks import percentiles
 from bagmeter.operators import solvers
-from bagmeter.sources.scratch import stage
+from bagmeter.sources.scratch import drop, stage
+
+#: Bags that a solver takes at once.
+SOLVED_ROWS = 2048
+#: Distinct score vectors of a bag that one task takes whole.
+WHOLE_BAG = 100_000
 
 
 def _matrix(rows: list, at: str, of: str, value: str, size: tuple[int, int]) -> np.ndarray:
@@ -52,19 +58,22 @@ def solved(bags: DataFrame, keys: list[str], vector: str, width: int, solve, lab
     return solved_means(bags.groupBy(*keys).agg(F.array(*means).alias("q")), keys, solve, labels)
 
 
-def solved_means(means: DataFrame, keys: list[str], solve, labels: tuple[str, ...] = LABELS) -> DataFrame:
-    """As :func:`solved`, from the vector ``q`` of each bag."""
+def solved_means(means: DataFrame, keys: list[str], solve: Callable[[np.ndarray], np.ndarray], labels: tuple[str, ...] = LABELS, dense=None) -> DataFrame:
+    """As :func:`solved`, from the vector ``q`` of each bag; ``solve`` takes a matrix with one row per bag.
+
+    ``dense`` makes such a matrix of a batch's ``q`` where these aren't vectors of one length.
+    """
     kinds = dict(means.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "label string", "p_pred double"])
+    make = dense or (lambda column: np.vstack([np.asarray(v, dtype=float) for v in column]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = []
-            for _, row in batch.iterrows():
-                p = solve(np.array([np.asarray(v, dtype=float) for v in row["q"]]))
-                parts.append(pd.DataFrame({**{k: row[k] for k in keys}, "label": list(labels), "p_pred": p}))
-            if parts:
-                yield pd.concat(parts)
+        for whole in batches:
+            for at in range(0, len(whole), SOLVED_ROWS):
+                batch = whole.iloc[at : at + SOLVED_ROWS]
+                p = solve(make(batch["q"]))
+                out = {k: np.repeat(batch[k].to_numpy(), len(labels)) for k in keys}
+                yield pd.DataFrame({**out, "label": np.tile(np.array(labels, dtype=object), len(batch)), "p_pred": p.ravel()})
 
     return means.select(*keys, "q").mapInPandas(run, schema)
 
@@ -97,18 +106,44 @@ def mixture(train: DataFrame, bags: DataFrame, keys: list[str], kind: str, label
 def emq(train: DataFrame, bags: DataFrame, keys: list[str], labels: tuple[str, ...] = LABELS) -> DataFrame:
     """Expectation maximization per bag until it settles, from distinct score vectors with their counts.
 
-    For bags of the size that a protocol draws; :func:`emq_fixed` takes bags of any size.
+    A bag with more than :data:`WHOLE_BAG` vectors isn't gathered: its rounds are aggregations over all tasks.
     """
     prior = class_matrix(train, "p", labels)[1]
     kinds = dict(bags.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "label string", "p_pred double"])
-    counted = bags.groupBy(*keys, "p").agg(F.count("*").alias("n"))
+    counted = stage(bags.groupBy(*keys, "p").agg(F.count("*").alias("n")), "bag-vectors")
+    large = stage(counted.groupBy(*keys).agg(F.count("*").alias("_size")).where(F.col("_size") > WHOLE_BAG).select(*keys), "large-bags")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         p = solvers.expectation_maximization(np.vstack(pdf["p"].to_list()), prior, pdf["n"].to_numpy(dtype=float))
         return pd.DataFrame({**dict(zip(keys, key)), "label": list(labels), "p_pred": p})
 
-    return counted.groupBy(*keys).applyInPandas(run, schema)
+    if large.isEmpty():
+        return counted.groupBy(*keys).applyInPandas(run, schema)
+    whole = counted.join(large, keys, "left_anti").groupBy(*keys).applyInPandas(run, schema)
+    return whole.unionByName(_settled(counted.join(large, keys, "left_semi"), keys, prior, labels))
+
+
+def _settled(counted: DataFrame, keys: list[str], prior: np.ndarray, labels: tuple[str, ...]) -> DataFrame:
+    """EM of bags of any size: each round is one aggregation, written, until no share moves by the tolerance of the solver."""
+    safe = np.maximum(prior, 1e-12)
+    start = F.array(*(F.lit(float(v)) for v in safe / safe.sum()))
+    shares = stage(counted.select(*keys).distinct().withColumn("g", start), "shares")
+    for _ in range(solvers.EM_ROUNDS):
+        parts = F.zip_with(F.zip_with("p", "g", lambda x, y: x * y), F.array(*(F.lit(float(v)) for v in safe)), lambda x, y: x / y)
+        weighted = counted.join(shares, keys).select(*keys, "n", parts.alias("w"))
+        weighted = weighted.withColumn("t", F.greatest(F.aggregate("w", F.lit(0.0), lambda a, x: a + x), F.lit(1e-300)))
+        means = F.array(*(F.sum(F.col("n") * F.element_at("w", i + 1) / F.col("t")) / F.sum("n") for i in range(len(safe))))
+        fresh = weighted.groupBy(*keys).agg(means.alias("g"))
+        moved = F.aggregate(F.zip_with("g", "_g", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, x: F.greatest(a, x))
+        both = stage(fresh.join(shares.withColumnRenamed("g", "_g"), keys).withColumn("moved", moved), "shares")
+        drop(shares)
+        shares = both.select(*keys, "g")
+        shares._scratch_path = both._scratch_path
+        if both.where(F.col("moved") >= solvers.EM_TOLERANCE).isEmpty():
+            break
+    pairs = F.arrays_zip(F.array(*map(F.lit, labels)).alias("label"), F.col("g").alias("p_pred"))
+    return shares.select(*keys, F.explode(pairs).alias("z")).select(*keys, "z.label", "z.p_pred")
 
 
 def emq_fixed(bags: DataFrame, keys: list[str], prior: list[float], rounds: int, labels: tuple[str, ...] = LABELS) -> DataFrame:
@@ -134,16 +169,16 @@ def emq_fixed(bags: DataFrame, keys: list[str], prior: list[float], rounds: int,
 def cde(bag_scores: DataFrame, rates: DataFrame, keys: list[str]) -> DataFrame:
     """Class distribution estimation of each label against the rest, from distinct scores with their counts.
 
+    Scores have six decimals, so a group has a million rows at most, however large a bag is.
     ``bag_scores``: ``keys``, ``label``, ``p``; ``rates``: ``label``, ``prior``, ``tpr``, ``fpr``, one row per class.
     """
     kinds = dict(bag_scores.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "label string", "p_pred double"])
-    counted = bag_scores.groupBy(*keys, "label", "p").agg(F.count("*").alias("n")).join(F.broadcast(rates), "label")
+    counted = bag_scores.groupBy(*keys, "label", F.round("p", 6).alias("p")).agg(F.count("*").alias("n")).join(F.broadcast(rates), "label")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
-        scores = np.repeat(pdf["p"].to_numpy(), pdf["n"].to_numpy())
-        p = solvers.cost_sensitive_share(scores, r["prior"], r["tpr"] or 0.0, r["fpr"] or 0.0)
+        p = solvers.cost_sensitive_share(pdf["p"].to_numpy(), r["prior"], r["tpr"] or 0.0, r["fpr"] or 0.0, pdf["n"].to_numpy(dtype=float))
         return pd.DataFrame({**dict(zip([*keys, "label"], key)), "p_pred": [p]})
 
     return counted.groupBy(*keys, "label").applyInPandas(run, schema)
@@ -151,9 +186,11 @@ def cde(bag_scores: DataFrame, rates: DataFrame, keys: list[str]) -> DataFrame:
 
 def feature_edges(train: DataFrame, features: str, width: int, bins: int) -> list[list[float]]:
     """Inner bin edges of each feature: linear quantiles of the training values, without repeats (width x bins numbers)."""
-    inner = F.array(*(F.lit(i / bins) for i in range(1, bins)))
-    row = train.agg(*(F.percentile(F.element_at(features, i + 1), inner).alias(f"q{i}") for i in range(width))).first()
-    return [sorted(set(row[f"q{i}"] or [])) for i in range(width)]
+    flat = train.select(F.posexplode(features).alias("i", "v")).where(F.col("i") < width)
+    out: list[set[float]] = [set() for _ in range(width)]
+    for r in percentiles(flat, ["i"], F.col("v"), [i / bins for i in range(1, bins)]).collect():
+        out[r["i"]].add(r["value"])
+    return [sorted(cut) for cut in out]
 
 
 def discretized(features: str, edges: list[list[float]]) -> Column:
@@ -176,25 +213,33 @@ def coded_matrix(train: DataFrame, codes: Column, parts: int, size: int, labels:
 
 
 def coded_means(bags: DataFrame, keys: list[str], codes: Column, size: int) -> DataFrame:
-    """``keys``, ``q``: the frequencies of the codes of each bag, as (part, code, share) of those that occur."""
-    flat = bags.select(*keys, F.posexplode(codes).alias("part", "code"))
-    counts = flat.groupBy(*keys, "part", "code").agg(F.count("*").cast("double").alias("n"))
+    """``keys``, ``q``: the counts of the codes of each bag, as (part and code, count) of those that occur."""
+    coded = bags.select(*keys, F.transform(codes, lambda c, part: part * size + c).alias("c"))
+    # members of a bag with the same codes are one row before they are taken apart
+    flat = coded.groupBy(*keys, "c").agg(F.count("*").alias("w")).select(*keys, "w", F.explode("c").alias("at"))
+    counts = flat.groupBy(*keys, "at").agg(F.sum("w").cast("double").alias("n"))
     # at most parts x size entries per bag
-    return counts.groupBy(*keys).agg(F.collect_list(F.array((F.col("part") * size + F.col("code")).cast("double"), F.col("n"))).alias("q"))
+    return counts.groupBy(*keys).agg(F.collect_list(F.array(F.col("at").cast("double"), F.col("n"))).alias("q"))
+
 
+def _dense(parts: int, size: int):
+    """A matrix of code frequencies, one row per bag."""
 
-def _dense(entries: np.ndarray, parts: int, size: int) -> np.ndarray:
-    q = np.zeros(parts * size)
-    for at, n in entries:
-        q[int(at)] = n
-    return q / max(q[:size].sum(), 1)
+    def make(column) -> np.ndarray:
+        q = np.zeros((len(column), parts * size))
+        for row, entries in enumerate(column):
+            at, n = np.array([np.asarray(e) for e in entries]).T
+            q[row, at.astype(int)] = n
+        return q / np.maximum(q[:, :size].sum(axis=1, keepdims=True), 1)
+
+    return make
 
 
 def hdx(train: DataFrame, bags: DataFrame, keys: list[str], features: str, width: int, bins: int = 8, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """Mixture of class histograms of the features with least Hellinger distance, all features together."""
     codes = discretized(features, feature_edges(train, features, width, bins))
     c, start = coded_matrix(train, codes, width, bins, labels)
-    return solved_means(coded_means(bags, keys, codes, bins), keys, lambda q: solvers.hellinger_mixture(c, _dense(q, width, bins), start), labels)
+    return solved_means(coded_means(bags, keys, codes, bins), keys, lambda q: solvers.hellinger_mixture(c, q, start), labels, _dense(width, bins))
 
 
 def readme(
@@ -210,12 +255,11 @@ def readme(
     size = bins ** len(chosen[0])
     c, start = coded_matrix(train, codes, subsets, size, labels)
 
-    def solve(entries: np.ndarray) -> np.ndarray:
-        q = _dense(entries, subsets, size)
+    def solve(q: np.ndarray) -> np.ndarray:
         parts = [slice(i * size, (i + 1) * size) for i in range(subsets)]
-        return np.mean([solvers.least_squares(c[s], q[s], start) for s in parts], axis=0)
+        return np.mean([solvers.least_squares(c[s], q[:, s], start) for s in parts], axis=0)
 
-    return solved_means(coded_means(bags, keys, codes, size), keys, solve, labels)
+    return solved_means(coded_means(bags, keys, codes, size), keys, solve, labels, _dense(subsets, size))
 
 
 #: Bytes of training vectors that are sent to the tasks in one pass; more vectors make more passes.
@@ -310,9 +354,9 @@ def energy_distance(train: DataFrame, bags: DataFrame, keys: list[str], features
     held = np.flatnonzero(n)
 
     def solve(q: np.ndarray) -> np.ndarray:
-        p = np.zeros(k) if len(held) else np.full(k, 1 / k)
+        p = np.zeros((len(q), k)) if len(held) else np.full((len(q), k), 1 / k)
         if len(held):
-            p[held] = solvers.energy_shares(between[np.ix_(held, held)], q[held])
+            p[:, held] = solvers.energy_shares(between[np.ix_(held, held)], q[:, held])
         return p
 
     total = far.groupBy("x").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(k)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagmeter.functions.arrays import bin_of
+from bagmeter.functions.ranks import percentiles
 from bagmeter.functions.zones import band_count, find_zone
 
 
@@ -58,9 +59,9 @@ def calibration_error(curve: DataFrame, keys: list[str]) -> DataFrame:
 
 def quantile_edges(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
     """``keys``, ``edges``: 0, the inner linear quantiles, 1, without repeats."""
-    inner = F.percentile(value, F.array(*(F.lit(i / bins) for i in range(1, bins))))
+    inner = F.collect_list("value")  # one value per bin
     edges = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0)), inner, F.array(F.lit(1.0)))))
-    return df.groupBy(*keys).agg(edges.alias("edges"))
+    return percentiles(df, keys, F.col(value), [i / bins for i in range(1, bins)]).groupBy(*keys).agg(edges.alias("edges"))
 
 
 def log_loss_accuracy(df: DataFrame, keys: list[str], p_true: Column, correct: Column) -> DataFrame:

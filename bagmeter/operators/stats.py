@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bagmeter.functions.ranks import percentiles
+
 
 def summary(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Mean and sample deviation of each value; the deviation of one row is null."""
@@ -52,7 +54,8 @@ def wilcoxon(df: DataFrame, groups: list[str], value: str) -> DataFrame:
 
 def box_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quartiles by linear interpolation, and the last values within 1.5 interquartile ranges of them."""
-    quartiles = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    each = percentiles(df, keys, F.col(value), [0.25, 0.5, 0.75])
+    quartiles = each.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("prob", "value")))["value"].alias("q"))  # three values
     q1, q3 = F.element_at("q", 1), F.element_at("q", 3)
     at = df.join(quartiles, keys)
     reach = 1.5 * (q3 - q1)

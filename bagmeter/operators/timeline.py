@@ -59,10 +59,15 @@ def most_diverse_window(df: DataFrame, key: str, order: Column, ties: list[str],
 def segment_bounds(df: DataFrame, key: str, at: str, length: str, margin: int = 40) -> DataFrame:
     """``df`` with ``seg_start`` and ``seg_end``: segments around annotations, cut halfway to their neighbours.
 
-    ``at`` and ``length`` are whole columns; the outer ends lie ``margin`` beyond the first and last annotation, within the signal.
+    A key's annotations are cut into pieces of :data:`CHUNK`, so no task holds a key. ``at`` and ``length`` are whole columns; the outer ends lie ``margin`` beyond the first and last annotation, within the signal.
     """
-    ordered = Window.partitionBy(key).orderBy(at)
+    # pieces of a key's order; the rows at a border also go to the piece beyond it, as neighbours only
+    places = ranked(df, [key], F.col(at), [], "_at")
+    own, inside = F.floor(F.col("_at") / CHUNK), F.col("_at") % CHUNK
+    pieces = F.when((inside == 0) & (own > 0), F.array(own, own - 1)).when(inside == CHUNK - 1, F.array(own, own + 1)).otherwise(F.array(own))
+    ordered = Window.partitionBy(key, "_piece").orderBy("_at")
     before, after = F.lag(at).over(ordered), F.lead(at).over(ordered)
     start = F.coalesce(F.floor((before + F.col(at)) / 2), F.greatest(F.lit(0), F.col(at) - margin))
     end = F.coalesce(F.floor((F.col(at) + after) / 2), F.least(F.col(length), F.col(at) + margin))
-    return df.withColumns({"seg_start": start.cast("int"), "seg_end": end.cast("int")})
+    spread = places.withColumn("_own", own).withColumn("_piece", F.explode(pieces))
+    return spread.withColumns({"seg_start": start.cast("int"), "seg_end": end.cast("int")}).where("_piece = _own").drop("_at", "_own", "_piece")

@@ -24,7 +24,7 @@ def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def _featured(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Training rows and bag members with their feature vectors."""
-    rows = stage(instances(spark, sf_dir).select("instance_id", "split", "fold", "y", "features"), "features")
+    rows = instances(spark, sf_dir).select("instance_id", "split", "fold", "y", "features")
     return rows.where("split = 'train'"), members(spark, sf_dir).join(rows.where("split = 'test'").select("instance_id", "features"), "instance_id")
 
 
@@ -70,7 +70,7 @@ def energy_distance(spark, sf_dir):
 
 def discretized_features(spark, sf_dir):
     """Rows per quantile bin of each feature; the edges come from the training rows only."""
-    rows = stage(instances(spark, sf_dir).select("split", "features"), "features")
+    rows = instances(spark, sf_dir).select("split", "features")
     edges = iterative.feature_edges(rows.where("split = 'train'"), "features", scoring.WIDTH, 8)
     binned = rows.select("split", F.posexplode(iterative.discretized("features", edges)).alias("feature", "bin"))
     return binned.groupBy("split", "feature", "bin").agg(F.count("*").alias("n"))

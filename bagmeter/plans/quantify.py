@@ -16,6 +16,7 @@ from bagmeter.functions.zones import zone_sql
 from bagmeter.operators import estimators as est
 from bagmeter.operators import metrics, scoring
 from bagmeter.sources.scratch import stage
+from bagmeter.sources.shared import shared
 from bagmeter.sources.tables import table
 
 BAG = ["protocol", "bag_size", "bag_index"]
@@ -23,7 +24,14 @@ _IN = "', '".join(LABELS)
 
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole beats of the five symbols with a split (and a fold, in training), each once."""
+    """Whole beats of the five symbols with a split (and a fold, in training), each once, as a written table that queries share.
+
+    Deliveries of a beat agree in all columns read here, so any of them may stay.
+    """
+    return shared(spark, sf_dir, ("instances",), "whole-beats", lambda: _whole_beats(spark, sf_dir))
+
+
+def _whole_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "instances")
         .where(F.col("split").isin("train", "valid", "test") & ((F.col("split") != "train") | F.col("fold").isNotNull()))
@@ -35,15 +43,19 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``instance_id``, ``split``, ``fold``, ``y``, ``p``, ``pred``, as a written table that several aggregations read."""
-    rows = instances(spark, sf_dir)
-    models = scoring.centroids(rows.where("split = 'train'").select("fold", "y", "features"))
-    scored = scoring.centroid_scores(rows, models).select("instance_id", "record_id", "split", "fold", "y", "p", "pred")
-    return stage(scored, "scores")
+    """``instance_id``, ``split``, ``fold``, ``y``, ``p``, ``pred``, as a written table that queries share."""
+
+    def make() -> DataFrame:
+        rows = instances(spark, sf_dir)
+        models = scoring.centroids(rows.where("split = 'train'").select("fold", "y", "features"))
+        return scoring.centroid_scores(rows, models).select("instance_id", "record_id", "split", "fold", "y", "p", "pred")
+
+    return shared(spark, sf_dir, ("instances",), "scores", make)
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "bag_members").where("instance_id is not null").select(*BAG, "pos", "instance_id").distinct()
+    drawn = lambda: table(spark, sf_dir, "bag_members").where("instance_id is not null").select(*BAG, "pos", "instance_id").distinct()
+    return shared(spark, sf_dir, ("bag_members",), "members", drawn)
 
 
 def bag_rows(spark: SparkSession, sf_dir: str, scored: DataFrame) -> DataFrame:

@@ -22,3 +22,32 @@ def test_energy_distance_over_all_training_rows(spark, monkeypatch, pass_bytes):
         p = solvers.energy_shares(between, np.array([far(bag, x[y]).mean() for y in names]))
         assert [got[k, y] for y in names] == pytest.approx(list(p), abs=1e-6)
         assert all(got[k, y] == 0 for y in LABELS if y not in names)
+
+
+def test_solvers_take_many_bags_at_once():
+    rng = np.random.default_rng(2)
+    c = rng.dirichlet(np.ones(6), 4).T
+    q = rng.dirichlet(np.ones(4), 50) @ c.T + rng.normal(0, 0.01, (50, 6))
+    q[3] = np.nan
+    one = np.array([solvers.least_squares(c, v) for v in q])
+    assert np.allclose(solvers.least_squares(c, q), one, atol=1e-9) and np.allclose(one.sum(axis=1), 1)
+    q = np.abs(np.nan_to_num(q))
+    start = np.full(4, 0.25)
+    assert np.allclose(solvers.hellinger_mixture(c, q, start), [solvers.hellinger_mixture(c, v, start) for v in q], atol=1e-12)
+    v = rng.normal(0, 2, (40, 5))
+    assert np.allclose(solvers.to_simplex(v), [solvers.to_simplex(x) for x in v]) and np.allclose(solvers.to_simplex(v).sum(axis=1), 1)
+
+
+def test_large_bags_take_rounds_over_all_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet(np.ones(3), 600).round(6)
+    rows = [(i % 2, "NVA"[int(x.argmax())], [float(v) for v in x]) for i, x in enumerate(p)]
+    df = spark.createDataFrame(rows, "k int, y string, p array<double>")
+    labels = ("N", "V", "A")
+    results = []
+    for limit in (10**6, 100):
+        monkeypatch.setattr(iterative, "WHOLE_BAG", limit)
+        monkeypatch.setattr(solvers, "EM_TOLERANCE", 1e-5)
+        results.append({(r["k"], r["label"]): r["p_pred"] for r in iterative.emq(df, df.where("k = 1 or y <> 'N'"), ["k"], labels).collect()})
+    assert results[0].keys() == results[1].keys() and len(results[0]) == 6
+    assert all(abs(results[0][k] - results[1][k]) < 1e-3 for k in results[0])
