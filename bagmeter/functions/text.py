@@ -19,6 +19,15 @@ def plain_name(c: Column) -> Column:
     return F.upper(strip_blanks(c))
 
 
+def duration_text(seconds: Column) -> Column:
+    """``12.3s`` below a minute, else ``h:mm:ss`` of the nearest second, with days before it where there are some; null stays null."""
+    whole = F.rint(seconds).cast("long")
+    days, rest = F.floor(whole / 86_400), whole % 86_400
+    clock = F.format_string("%d:%02d:%02d", F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60)
+    named = F.when(days == 1, F.concat(F.lit("1 day, "), clock)).when(days > 1, F.concat(days.cast("string"), F.lit(" days, "), clock)).otherwise(clock)
+    return F.when(seconds < 60, F.concat(F.format_string("%.1f", F.bround(seconds, 1)), F.lit("s"))).otherwise(F.when(seconds.isNotNull(), named))
+
+
 def canonical_id(c: Column, width: int = 7) -> Column:
     """``letters-number`` spelling of an id: lower case, number padded to ``width``.
 

@@ -128,16 +128,63 @@ def normalized_scores(df: DataFrame, unit: str, value: str = "q") -> DataFrame:
     return df.withColumn(value, F.when(total > 0, F.col(value) / F.nullif(total, F.lit(0.0))).otherwise(F.lit(1.0) / F.count("*").over(row)))
 
 
-def cross_fitted(df: DataFrame, folds: list[int]) -> DataFrame:
-    """``df`` with ``q``: each fold's scores mapped by Platt models of the other folds."""
+#: Methods of :func:`mapped`.
+METHODS = ("sigmoid", "isotonic", "temperature")
+
+
+def mapped(fit: DataFrame, apply: DataFrame, labels: list[str], method: str, unit: str | None = None) -> DataFrame:
+    """``apply`` with ``q``: its scores mapped as ``method`` learns from ``fit``.
+
+    Both are long. ``temperature`` takes the scores of a row together and needs ``unit``, the column that names it. A label
+    without positives in ``fit`` keeps its scores under ``sigmoid`` and gets 0 under ``isotonic``.
+    """
+    if method == "sigmoid":
+        return apply_platt(apply, ["label"], fit_platt(fit, ["label"]))
+    if method == "isotonic":
+        parts = [isotonic(fit, apply, label) for label in labels]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+    if method != "temperature" or unit is None:
+        raise ValueError(f"unknown method: {method}" if unit else "temperature needs the column of a row's id")
+    whole = fit.groupBy(unit).agg(  # one row per label
+        F.array_sort(F.collect_list(F.struct("label", "p")))["p"].alias("_v"),
+        F.array_position(F.array_sort(F.collect_list(F.struct("label", "is_true")))["is_true"], 1).cast("int").alias("_i"),
+    )
+    t = fit_temperature(whole.where("_i > 0"), "_v", F.col("_i"))
+    power = F.pow(F.greatest(F.col("p"), F.lit(EDGE)), F.lit(1 / t))
+    return apply.withColumn("q", power / F.sum(power).over(Window.partitionBy(unit)))
+
+
+def missing_labels(df: DataFrame, folds: list[int], labels: list[str]) -> dict[int, list[str]]:
+    """For each fold, the labels that the other folds have no positive row of, so that its map is learned without them."""
+    has = {(r["fold"], r["label"]) for r in df.where("is_true = 1 and fold is not null").select("fold", "label").distinct().collect()}
+    return {k: sorted(x for x in labels if not any(f != k and y == x for f, y in has)) for k in folds}
+
+
+def cross_fitted(df: DataFrame, folds: list[int], method: str = "sigmoid", labels: list[str] | None = None, unit: str | None = None) -> DataFrame:
+    """``df`` with ``q``: each fold's scores mapped by what ``method`` learns from the other folds."""
     out = None
     for k in folds:
-        models = fit_platt(df.where(F.col("fold") != k), ["label"])
-        part = apply_platt(df.where(F.col("fold") == k), ["label"], models)
+        part = mapped(df.where(F.col("fold") != k), df.where(F.col("fold") == k), labels or [], method, unit)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def calibrated_folds(held: DataFrame, apply: DataFrame, folds: list[int], labels: list[str], unit: str, method: str = "sigmoid") -> DataFrame:
+    """``unit``, ``label``, ``q``: scores of each fold's model mapped by what ``method`` learns from that fold, normalized by row, and averaged over folds.
+
+    ``held``: rows of each fold as scored by the model without it; ``apply``: ``unit``, ``label``, ``p`` of other rows by the model of each ``fold``.
+    """
+    out = None
+    for k in folds:
+        each = mapped(held.where(F.col("fold") == k), apply.where(F.col("fold") == k), labels, method, unit)
+        part = normalized_scores(each, unit).select(unit, "label", "q")
+        out = part if out is None else out.unionByName(part)
+    return fold_average(out, [unit, "label"], "q")
+
+
 def fold_average(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean over folds of a row's calibrated scores."""
     return df.groupBy(*keys).agg(F.avg(value).alias(value))

@@ -37,6 +37,21 @@ def zone_crossing_error(df: DataFrame, keys: list[str], ranges: dict | None = No
     return df.select(*keys).distinct().join(errors, keys, "left").withColumn("zce", F.coalesce("zce", F.lit(0.0)))
 
 
+def check_scores(df: DataFrame, label: str, p: str, classes: list[str]) -> None:
+    """Raise ValueError unless ``df`` has rows, each with a known label and with one score from 0 to 1 for each class; one aggregation."""
+    wrong = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(True)).cast("long")), F.lit(0))
+    outside = F.exists(F.col(p), lambda v: v.isNull() | F.isnan(v) | (v < -1e-9) | (v > 1 + 1e-9))
+    row = df.agg(
+        F.count("*").alias("rows"), wrong(F.size(p) != len(classes)).alias("width"), wrong(~F.col(label).isin(*classes)).alias("label"),
+        wrong(outside).alias("range"),
+    ).first()
+    if not row["rows"]:
+        raise ValueError("there are no rows")
+    for name, text in (("width", f"don't have {len(classes)} scores"), ("label", f"have a label that isn't one of {classes}"), ("range", "have scores that don't lie in [0, 1]")):
+        if row[name]:
+            raise ValueError(f"{row[name]} rows {text}")
+
+
 def brier(df: DataFrame, keys: list[str], label: str, p: str, classes: Column, half: bool = False) -> DataFrame:
     """``keys``, ``brier``: mean over rows of the squared distance to the one-hot label; from 0 to 2, or halved."""
     one_hot = F.transform(classes, lambda c: (c == F.col(label)).cast("double"))

@@ -7,6 +7,7 @@ of MLlib classifiers; both score the training rows out of fold.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bagmeter.config import LABELS
+from bagmeter.operators.calibration import apply_platt, fit_platt
 from bagmeter.sources.scratch import stage
 
 #: Values of a whole feature list.
@@ -127,8 +129,13 @@ CLASSIFIERS: dict[str, Callable[[], object]] = {
 }
 
 
-def _fit(kind: str, train: DataFrame):
-    return CLASSIFIERS[kind]().setFeaturesCol("_x").setLabelCol("_y").fit(train)
+#: Classifiers without probabilities.
+MARGINS = ("SVM", "Ridge")
+
+
+def _fit(kind: str, train: DataFrame, sizes: dict):
+    model = CLASSIFIERS[kind]().setFeaturesCol("_x").setLabelCol("_y")
+    return model.setParams(**sizes).fit(train) if sizes else model.fit(train)
 
 
 def _positive(df: DataFrame) -> Column:
@@ -138,26 +145,69 @@ def _positive(df: DataFrame) -> Column:
     return F.element_at(vector_to_array("probability" if "probability" in df.columns else "rawPrediction"), 2)
 
 
-def one_vs_rest_scores(rows: DataFrame, kind: str, label: str, n_folds: int, keep: list[str]) -> DataFrame:
+def one_vs_rest_scores(rows: DataFrame, kind: str, label: str, n_folds: int, keep: list[str], **sizes) -> DataFrame:
     """``keep``, ``score``: one label against the rest; training rows out of fold, other rows by the whole model.
 
-    ``rows``: ``split``, ``fold`` (from 0), ``y``, whole ``features``. The fits share one cached input.
+    ``rows``: ``split``, ``fold`` (from 0), ``y``, whole ``features``. The fits share one cached input. ``sizes`` are parameters of the model.
     """
     data = rows.withColumn("_x", array_to_vector("features")).withColumn("_y", (F.col("y") == label).cast("double"))
     train = data.where("split = 'train' and fold is not null and y is not null").persist()
     train.count()
     try:
         rest = data.where("split <> 'train'")
-        scored = _fit(kind, train).transform(rest)
+        scored = _fit(kind, train, sizes).transform(rest)
         out = scored.select(*keep, _positive(scored).alias("score"))
         for k in range(n_folds):
-            held = _fit(kind, train.where(F.col("fold") != k)).transform(data.where((F.col("split") == "train") & (F.col("fold") == k)))
+            held = _fit(kind, train.where(F.col("fold") != k), sizes).transform(data.where((F.col("split") == "train") & (F.col("fold") == k)))
             out = out.unionByName(held.select(*keep, _positive(held).alias("score")))
     finally:
         train.unpersist()
     return out
 
 
+#: Sizes of the models that a study fits; the queries take smaller ones.
+STUDY_SIZES = {"RF": {"numTrees": 100}, "GB": {"maxIter": 100}}
+
+
+def trained_scores(rows: DataFrame, kind: str, n_folds: int, keep: list[str], labels: tuple[str, ...] = LABELS, **sizes) -> DataFrame:
+    """``keep``, ``p``, ``pred``: a trained classifier of each label against the rest, its scores divided by their sum.
+
+    Margins and predictions of models without probabilities become probabilities by Platt's map, fitted on the out-of-fold scores.
+    ``keep`` has ``instance_id``, ``split`` and ``y``; ``sizes`` are parameters of the model.
+    """
+    parts = None
+    for label in labels:
+        scored = one_vs_rest_scores(rows, kind, label, n_folds, keep, **sizes).select(*keep, F.lit(label).alias("label"), F.col("score").alias("p"))
+        parts = scored if parts is None else parts.unionByName(scored)
+    parts = stage(parts, "trained-scores")
+    if kind in MARGINS:
+        oof = parts.where("split = 'train'").withColumn("is_true", (F.col("y") == F.col("label")).cast("int"))
+        parts = apply_platt(parts, ["label"], fit_platt(oof, ["label"])).drop("p").withColumnRenamed("q", "p")
+    of = F.map_from_entries(F.collect_list(F.struct("label", "p")))  # one entry per label
+    p = F.transform(F.array(*map(F.lit, labels)), lambda x: F.greatest(F.try_element_at("_m", x), F.lit(0.0)))
+    total = F.aggregate("_p", F.lit(0.0), lambda s, x: s + x)
+    shares = F.when(total > 0, F.transform("_p", lambda x: x / total)).otherwise(F.array(*(F.lit(1 / len(labels)) for _ in labels)))
+    vectors = parts.groupBy(*keep).agg(of.alias("_m")).withColumn("_p", p)
+    return vectors.select(*keep, shares.alias("p")).withColumn("pred", argmax("p", labels))
+
+
+def parameter_grid(**values: list) -> list[dict]:
+    """All combinations of parameter values."""
+    return [dict(zip(values, some)) for some in itertools.product(*values.values())]
+
+
+def grid_scores(rows: DataFrame, kind: str, label: str, n_folds: int, grid: list[dict]) -> list[tuple[dict, float]]:
+    """Each combination with its out-of-fold log loss on the training rows, the best first; margins count as log odds."""
+    out = []
+    for some in grid:
+        scored = one_vs_rest_scores(rows, kind, label, n_folds, ["split", "y"], **some).where("split = 'train'")
+        p = 1 / (1 + F.exp(-F.col("score"))) if kind in MARGINS else F.col("score")
+        hit = F.when(F.col("y") == label, p).otherwise(1 - p)
+        loss = scored.agg(F.avg(-F.log(F.greatest(hit, F.lit(1e-15)))).alias("l")).first()["l"]
+        out.append((some, float("inf") if loss is None else loss))
+    return sorted(out, key=lambda x: x[1])
+
+
 def multinomial_scores(rows: DataFrame, labels: tuple[str, ...], n_folds: int, keep: list[str]) -> DataFrame:
     """``keep``, ``p``: multinomial logistic regression; training rows out of fold, other rows by the whole model."""
     index = F.array_position(F.array(*(F.lit(x) for x in labels)), F.col("y")) - 1

@@ -55,6 +55,10 @@ def class_counts(df: DataFrame, group: str, label: str) -> tuple[DataFrame, list
     return counts, labels, [x or 0.0 for x in row]
 
 
+#: Groups that are dealt one after the other.
+HEAD = 100_000
+
+
 def _dealer(group: str, folds: int, totals: list[float]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, scale = np.zeros((folds, len(totals))), np.maximum(np.array(totals), 1)
@@ -76,17 +80,35 @@ def _dealer(group: str, folds: int, totals: list[float]):
 def balanced_folds(counts: DataFrame, group: str, totals: list[float], folds: int, seed: int | None) -> DataFrame:
     """``group``, ``fold``, a written table: folds such that the classes are spread evenly over them.
 
-    Groups are taken by falling deviation of their class counts, equal ones in a seeded random order; each goes to the
-    fold for which the class shares over folds deviate least, and of equals to that with fewest rows. Each choice depends on
-    those before it, so one task makes them in one ordered pass; it holds rows by fold and class, no groups.
+    Groups are taken by falling deviation of their class counts, equal ones in a seeded random order. Of the first :data:`HEAD` each goes to the
+    fold for which the class shares over folds deviate least, and of equals to that with fewest rows; each choice depends on
+    those before it, so one task makes them in one ordered pass. The groups beyond them deviate least and could tip no balance: those with
+    the same commonest class are dealt to the folds in turn, beginning with the fold that has fewest of its rows, by all tasks.
     """
     # the variance in whole numbers, so that equal ones tie
     square, total = (F.aggregate("v", F.lit(0.0), f) for f in (lambda s, x: s + x * x, lambda s, x: s + x))
     spread = square * F.size("v") - total * total
     ties = [] if seed is None else [uniform(seed, "fold", F.col(group))]
-    ordered = counts.repartition(1).sortWithinPartitions(spread.desc(), *ties, group)
     kind = dict(counts.dtypes)[group]
-    return stage(ordered.select(group, "v").mapInPandas(_dealer(group, folds, totals), f"`{group}` {kind}, fold int"), "folds")
+    order = ["_spread", *(["_tie"] if ties else []), group]
+    placed = counts.withColumn("_spread", -spread)
+    placed = placed.withColumn("_tie", ties[0]) if ties else placed
+    placed = stage(ranked(placed, [], F.col("_spread"), order[1:], "_at"), "ordered-groups")
+    first = placed.where(F.col("_at") < HEAD).coalesce(1).sortWithinPartitions("_at")
+    dealt = stage(first.select(group, "v").mapInPandas(_dealer(group, folds, totals), f"`{group}` {kind}, fold int"), "folds")
+    rest = placed.where(F.col("_at") >= HEAD)
+    if rest.isEmpty():
+        return dealt
+    width = len(totals)
+    sums = [F.sum(F.element_at("v", i + 1)).alias(f"n{i}") for i in range(width)]
+    held = np.zeros((folds, width))
+    for r in dealt.join(counts, group).groupBy("fold").agg(*sums).collect():
+        held[r["fold"]] = [r[f"n{i}"] for i in range(width)]
+    turns = F.array(*(F.array(*(F.lit(int(f)) for f in np.argsort(held[:, i], kind="stable"))) for i in range(width)))
+    main = rest.withColumn("_main", F.array_position("v", F.array_max("v")).cast("int"))
+    at = ranked(main, ["_main"], F.col("_at"), [], "_turn")
+    tail = at.select(group, F.element_at(F.element_at(turns, F.col("_main")), (F.col("_turn") % folds + 1).cast("int")).cast("int").alias("fold"))
+    return stage(dealt.unionByName(tail), "folds")
 
 
 def stratified_folds(df: DataFrame, group: str, label: str, folds: int, seed: int | None = None) -> DataFrame:
@@ -125,6 +147,17 @@ def guaranteed_split(df: DataFrame, group: str, label: str, test_size: float = 0
     raise failed
 
 
+def make_splits(df: DataFrame, label: str, unit: str, folds: int, group: str | None = None, seed: int = 0) -> DataFrame:
+    """``df`` with ``fold`` for calibration: stratified by label, and with ``group`` no group in two folds.
+
+    Without groups the rows of a label are dealt in a seeded random order of ``unit``. Rows with a null label (or group) are left out.
+    """
+    if group is not None:
+        return df.join(stratified_folds(df, group, label, folds, seed), group)
+    known = df.where(F.col(label).isNotNull())
+    return ranked(known, [label], uniform(seed, "fold", F.col(unit)), [unit], "_at").withColumn("fold", (F.col("_at") % folds).cast("int")).drop("_at")
+
+
 def leaking_groups(df: DataFrame, group: str, side: str, a: str = "train", b: str = "test") -> DataFrame:
     """Groups that are on both sides; must be empty."""
     return df.where(F.col(side) == a).select(group).intersect(df.where(F.col(side) == b).select(group))

@@ -59,7 +59,24 @@ def registry() -> dict[str, Callable[[DataFrame, DataFrame, DataFrame, DataFrame
 
 
 #: Classifiers of whole score vectors by name: functions of (session, data).
-SCORERS = {"centroid": quantify.scores, "multinomial": learned.oof_scores_multinomial}
+SCORERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"centroid": quantify.scores, "multinomial": learned.oof_scores_multinomial}
+
+
+def _trained(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def scores(spark: SparkSession, data: str) -> DataFrame:
+        rows, sizes = quantify.instances(spark, data), scoring.STUDY_SIZES.get(kind, {})
+        return scoring.trained_scores(rows, kind, len(learned.FOLDS), ["instance_id", "split", "y"], **sizes)
+
+    return scores
+
+
+SCORERS |= {kind: _trained(kind) for kind in scoring.CLASSIFIERS}
+
+
+def methods(classifiers: list[str] | None = None, names: list[str] | None = None) -> list[str]:
+    """Every classifier with every estimator, as ``classifier-estimator``; estimators that read features come once, alone."""
+    names, plain = names or list(registry()), ("HDx", "ReadMe", "ED")
+    return [n for n in names if n in plain] + [f"{c}-{n}" for c in classifiers or list(SCORERS) for n in names if n not in plain]
 
 
 def _scored(spark: SparkSession, data: str, classifier: str) -> DataFrame:
@@ -101,11 +118,26 @@ def run_experiment(spark: SparkSession, data: str, out: str, names: list[str] |
             both = stage(true.join(guess, [*KEYS, "label"]), "evaluated")
             errors = metrics.absolute_error(both, KEYS).withColumnRenamed("ae", "mae").join(metrics.zone_crossing_error(both, KEYS), KEYS)
             check.save(errors.withColumn("quantifier", F.lit(name)), name)
+    check.results().where(F.col("quantifier").isin(*names)).write.mode("overwrite").parquet(f"{out}/results")  # one row per bag and estimator
     summary = stats.summary(check.results(), ["quantifier", "bag_size"], ["mae", "zce"])
     summary.write.mode("overwrite").csv(f"{out}/summary_table", header=True)
     return summary
 
 
+def run_grid(spark: SparkSession, data: str, out: str, classifiers: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """:func:`run_experiment` for every method of :func:`methods`, each classifier in its own folder; the summaries as one table."""
+    known, result = methods(classifiers, names), None
+    for classifier in classifiers or list(SCORERS):
+        own = [n.removeprefix(f"{classifier}-") for n in known if n.startswith(f"{classifier}-")]
+        plain = [n for n in known if "-" not in n] if result is None else []
+        part = run_experiment(spark, data, f"{out}/{classifier}", own + plain, classifier=classifier).where(F.col("quantifier").isin(*own, *plain))
+        named = F.when(F.col("quantifier").isin(*plain), F.col("quantifier")).otherwise(F.concat(F.lit(f"{classifier}-"), "quantifier"))
+        part = part.withColumn("quantifier", named)
+        result = part if result is None else result.unionByName(part)
+    result.write.mode("overwrite").csv(f"{out}/summary_table", header=True)
+    return result
+
+
 def compare_protocols(spark: SparkSession, data: str, out: str, names: list[str] | None = None, fresh: bool = False, classifier: str = "centroid") -> DataFrame:
     """Ranks of the estimators on bags of both protocols, drawn from the same scores, and their shifts.
 
