@@ -9,7 +9,7 @@ from bagmeter.config import LABELS
 from bagmeter.operators import calibration as cal
 from bagmeter.operators import estimators as est
 from bagmeter.operators import iterative, metrics, scoring
-from bagmeter.plans.quantify import BAG, BAGS_SQL, SCORES_SQL, bag_rows, instances, long_bags, members, out_of_fold, scores
+from bagmeter.plans.quantify import BAG, BAGS_SQL, SCORES_SQL, _ece, _uniform_bin, bag_rows, instances, long_bags, members, out_of_fold, scores
 from bagmeter.sources.scratch import stage
 
 #: Rounds of the EM that is compared with SQL.
@@ -41,7 +41,7 @@ def fm(spark, sf_dir):
 
 
 def emq(spark, sf_dir):
-    return iterative.emq(*_parts(spark, sf_dir), BAG)
+    return iterative.emq(*_parts(spark, sf_dir), BAG).withColumn("p_pred", F.round("p_pred", 5))
 
 
 def emq_fixed_iterations(spark, sf_dir):
@@ -53,7 +53,7 @@ def emq_fixed_iterations(spark, sf_dir):
 def cde(spark, sf_dir):
     scored = scores(spark, sf_dir)
     rates = est.rates(out_of_fold(scored)).select("label", "prior", "tpr", "fpr")
-    return iterative.cde(long_bags(bag_rows(spark, sf_dir, scored)).select(*BAG, "label", "p"), rates, BAG)
+    return iterative.cde(long_bags(bag_rows(spark, sf_dir, scored)).select(*BAG, "label", "p"), rates, BAG).withColumn("p_pred", F.round("p_pred", 6))
 
 
 def hdx(spark, sf_dir):
@@ -104,7 +104,7 @@ def _calibrated_error(df: DataFrame) -> DataFrame:
     from bagmeter.functions.arrays import uniform_edges
 
     curve = metrics.reliability(df, ["label"], F.col("q"), F.col("is_true"), uniform_edges(15))
-    return metrics.calibration_error(curve, ["label"])
+    return metrics.calibration_error(curve, ["label"]).withColumn("ece", F.round("ece", 6))
 
 
 def platt(spark, sf_dir):
@@ -127,7 +127,7 @@ def temperature(spark, sf_dir):
     t = cal.fit_temperature(scored.where("split = 'train'"), "p", place)
     out = scored.where("split = 'test'").withColumn("p", cal.tempered(F.col("p"), t))
     long = scoring.long_scores(out, ["y"]).select("label", F.col("p").alias("q"), (F.col("y") == F.col("label")).cast("int").alias("is_true"))
-    return _calibrated_error(long).withColumn("temperature", F.lit(float(t)))
+    return _calibrated_error(long).withColumn("temperature", F.lit(round(float(t), 6)))
 
 
 def cross_fit(spark, sf_dir):
@@ -187,3 +187,105 @@ each as (
 parts as (select instance_id, m, label, round(w / sum(w) over (partition by instance_id, m), 6) as p from each)
 select instance_id, label, round(avg(p), 9) as p from parts group by instance_id, label""",
 }
+
+SQL["emq"] = f"""
+with recursive {SCORES_SQL},
+priors as (select y as label, greatest(count(*) / sum(count(*)) over (), 1e-12::double) as prior from (select distinct instance_id, y from scores where split = 'train') group by y),
+prior as (select list(label order by label) as names, list(prior order by label) as safe from priors),
+drawn as (select distinct protocol, bag_size, bag_index, pos, instance_id from bag_members where instance_id is not null),
+vectors as (select instance_id, list(p order by label) as p from scores where split = 'test' and label in (select label from priors) group by instance_id),
+bags as (select protocol, bag_size, bag_index, list(p) as ps from drawn join vectors using (instance_id) group by all),
+rounds as (
+  select protocol, bag_size, bag_index, ps, list_transform(safe, lambda x: x / list_sum(safe)) as g, 0 as i, false as done from bags, prior
+  union all
+  select protocol, bag_size, bag_index, ps, f, i + 1, list_max(list_transform(list_zip(f, g), lambda z: abs(z[1] - z[2]))) < 1e-8::double
+  from (
+    select r.*, list_transform(range(1, len(safe) + 1), lambda j: list_avg(list_transform(ps, lambda v:
+      v[j] * g[j] / safe[j] / list_sum(list_transform(range(1, len(safe) + 1), lambda k: v[k] * g[k] / safe[k]))))) as f
+    from rounds r, prior where not done and i < 1000
+  )
+),
+last as (select * from rounds qualify row_number() over (partition by protocol, bag_size, bag_index order by i desc) = 1)
+select protocol, bag_size, bag_index, unnest(names) as label, round(unnest(g), 5) as p_pred from last, prior"""
+SQL["cde"] = f"""
+with recursive {BAGS_SQL},
+priors as (select label, avg(is_true) as prior from oof group by label),
+held as (select protocol, bag_size, bag_index, label, list(p) as ps from bags group by all),
+start as (select h.*, prior, coalesce(tpr, 0) as tpr, coalesce(fpr, 0) as fpr from held h join rates using (label) join priors using (label)),
+rounds as (
+  select *, prior::double as share, 0 as i, false as done from start
+  union all
+  select protocol, bag_size, bag_index, label, ps, prior, tpr, fpr, fresh, i + 1, abs(fresh - share) < 1e-6::double
+  from (
+    select *, 0.5::double * (share + case when tpr <> fpr then least(1::double, greatest(0::double, (above - fpr) / (tpr - fpr))) else above end) as fresh
+    from (
+      select *, len(list_filter(ps, lambda x: x >= ratio / (1 + ratio))) / len(ps)::double as above
+      from (select *, (1 - share) / greatest(share, 1e-12::double) * prior / greatest(1 - prior, 1e-12::double) as ratio from rounds where not done and i < 100)
+    )
+  )
+)
+select protocol, bag_size, bag_index, label, round(share, 6) as p_pred from rounds
+qualify row_number() over (partition by protocol, bag_size, bag_index, label order by i desc) = 1"""
+
+
+def _platt_sql(keys: str, fit: str) -> str:
+    """CTEs ending in fits (keys, a, b): Newton steps, short ones first, on counts per score cell; ``fit`` has keys, p, is_true."""
+    each = lambda term: f"list_sum(list_transform(cells, lambda z: {term}))"
+    q = "(1 / (1 + exp(a * z.p + b)))"
+    d1, d2 = f"((z.pos * hi + z.neg * lo) - (z.pos + z.neg) * {q})", f"((z.pos + z.neg) * {q} * (1 - {q}))"
+    return f"""
+reduced as (select {keys}, round(p * 4000) / 4000 as p, sum(is_true)::double as pos, sum(1 - is_true)::double as neg from ({fit}) group by {keys}, round(p * 4000) / 4000),
+packed as (
+  select {keys}, list({{'p': p, 'pos': pos, 'neg': neg}}) as cells, (sum(pos) + 1) / (sum(pos) + 2) as hi, 1 / (sum(neg) + 2) as lo, ln((sum(neg) + 1) / (sum(pos) + 1)) as b0
+  from reduced group by {keys}
+),
+steps as (
+  select {keys}, cells, hi, lo, 0::double as a, b0 as b, 0 as i from packed
+  union all
+  select {keys}, cells, hi, lo, a - pace * (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b - pace * (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12), i + 1
+  from (
+    select *, case when i < 40 then 0.25::double else 1 end as pace, {each(f'z.p * {d1}')} as g1, {each(d1)} as g2, {each(f'z.p * z.p * {d2}')} + 1e-12::double as h11, {each(f'z.p * {d2}')} as h12, {each(d2)} + 1e-12::double as h22
+    from steps where i < 50
+  )
+),
+fits as (select {keys}, a, b from steps where i = 50),"""
+
+
+_TRUTH = "(y = label)::int as is_true"
+_MAPPED = "mapped as (select m.*, 1 / (1 + exp(a * p + b)) as raw from ({rows}) m join fits using ({keys}))"
+_NORMAL = "normal as (select *, case when sum(raw) over unit > 0 then raw / sum(raw) over unit else 1 / count(*) over unit end as q from mapped window unit as (partition by instance_id))"
+
+
+def _calibrated_sql(keys: str, fit: str, rows: str) -> str:
+    before = f"with recursive {SCORES_SQL}," + _platt_sql(keys, fit) + _MAPPED.format(rows=rows, keys=keys) + ", " + _NORMAL
+    return _ece(before, "label", "q", "is_true = 1", _uniform_bin("q", 15)).replace("{rows}", "normal").replace(", 9) as ece", ", 6) as ece")
+
+
+SQL["platt"] = _calibrated_sql("label", f"select label, p, {_TRUTH} from scores where split = 'train'", f"select instance_id, label, p, {_TRUTH} from scores where split = 'test'")
+SQL["cross_fit"] = _calibrated_sql(
+    "fold, label",
+    f"select f.m as fold, label, p, {_TRUTH} from scores s join (select m from folds where m >= 0) f on s.fold <> f.m where split = 'train'",
+    f"select instance_id, fold, label, p, {_TRUTH} from scores where split = 'train'",
+)
+
+_POWERS = "list_transform(ps, lambda x: pow(greatest(x, 1e-12::double), exp(-t)))"
+_TRIES = ""
+for _r in range(1, 6):
+    _TRIES += f"""
+tried{_r} as (select i, lo, hi, lo + i * (hi - lo) / 14::double as t from span{_r - 1}, (select unnest(range(15)) as i)),
+loss{_r} as (
+  select i, any_value(lo) as lo, any_value(hi) as hi, any_value(t) as t, avg(-ln(greatest(w[k] / list_sum(w), 1e-15::double))) as l
+  from (select i, lo, hi, t, k, {_POWERS} as w from whole, tried{_r}) group by i
+),
+span{_r} as (select t - (hi - lo) / 14::double as lo, t + (hi - lo) / 14::double as hi, t from loss{_r} order by l, i limit 1),"""
+_TEMPERED = f"""
+with {SCORES_SQL},
+whole as (
+  select list(p order by label) as ps, list_position(list(label order by label), any_value(y)) as k from scores where split = 'train' group by instance_id
+),
+span0 as (select ln(0.05::double) as lo, ln(20.0::double) as hi),{_TRIES}
+cooled as (select instance_id, label, y, pow(greatest(p, 1e-12::double), 1 / exp(t)) as w, round(exp(t), 6) as temperature from scores, span5 where split = 'test'),
+normal as (select label, y, temperature, w / sum(w) over (partition by instance_id) as q from cooled)"""
+SQL["temperature"] = (
+    _ece(_TEMPERED, "label, temperature", "q", "y = label", _uniform_bin("q", 15)).replace("{rows}", "normal").replace(", 9) as ece", ", 6) as ece")
+)
