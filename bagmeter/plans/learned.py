@@ -28,20 +28,25 @@ def _featured(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return rows.where("split = 'train'"), members(spark, sf_dir).join(rows.where("split = 'test'").select("instance_id", "features"), "instance_id")
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Solvers stop within a tolerance, so five decimals are kept."""
+    return df.withColumn("p_pred", F.round("p_pred", 5))
+
+
 def gac(spark, sf_dir):
-    return iterative.mixture(*_parts(spark, sf_dir), BAG, "hard")
+    return _rounded(iterative.mixture(*_parts(spark, sf_dir), BAG, "hard"))
 
 
 def gpac(spark, sf_dir):
-    return iterative.mixture(*_parts(spark, sf_dir), BAG, "soft")
+    return _rounded(iterative.mixture(*_parts(spark, sf_dir), BAG, "soft"))
 
 
 def fm(spark, sf_dir):
-    return iterative.mixture(*_parts(spark, sf_dir), BAG, "prior")
+    return _rounded(iterative.mixture(*_parts(spark, sf_dir), BAG, "prior"))
 
 
 def emq(spark, sf_dir):
-    return iterative.emq(*_parts(spark, sf_dir), BAG).withColumn("p_pred", F.round("p_pred", 5))
+    return _rounded(iterative.emq(*_parts(spark, sf_dir), BAG))
 
 
 def emq_fixed_iterations(spark, sf_dir):
@@ -57,7 +62,7 @@ def cde(spark, sf_dir):
 
 
 def hdx(spark, sf_dir):
-    return iterative.hdx(*_featured(spark, sf_dir), BAG, "features", scoring.WIDTH)
+    return _rounded(iterative.hdx(*_featured(spark, sf_dir), BAG, "features", scoring.WIDTH))
 
 
 def readme(spark, sf_dir):
@@ -289,3 +294,87 @@ normal as (select label, y, temperature, w / sum(w) over (partition by instance_
 SQL["temperature"] = (
     _ece(_TEMPERED, "label, temperature", "q", "y = label", _uniform_bin("q", 15)).replace("{rows}", "normal").replace(", 9) as ece", ", 6) as ece")
 )
+
+_K = f"range(1, {len(LABELS) + 1})"
+_KEY = "protocol, bag_size, bag_index"
+_TESTED = f"""
+drawn as (select distinct {_KEY}, pos, instance_id from bag_members where instance_id is not null),
+prior as (select list(coalesce(n, 0) / total::double order by label) as g from (
+  select l.label, count(s.instance_id) as n, sum(count(s.instance_id)) over () as total
+  from (select unnest(['{"', '".join(sorted(LABELS))}']) as label) l left join scores s on s.y = l.label and s.label = l.label and s.split = 'train' group by l.label
+))"""
+
+
+def _mixture_sql(vector: str) -> str:
+    """Accelerated projected gradients, begun anew every 50 rounds; ``vector`` is the value of each row and label."""
+    sums = f"list_transform({_K}, lambda j: list_sum(list_slice(list_reverse_sort(v), 1, j)))"
+    return f"""
+with recursive {SCORES_SQL},{_TESTED},
+valued as (select s.instance_id, split, y, label, p, pred, {vector} as v from scores s, (select unnest(g) as prior, unnest(['{"', '".join(sorted(LABELS))}']) as name from prior) z where z.name = label),
+columns as (select y, label, avg(v) as m from valued where split = 'train' group by y, label),
+matrix as (select list(c order by y) as c from (select y, list(m order by label) as c from columns group by y)),
+grams as (
+  select c, list_transform(c, lambda a: list_transform(c, lambda b: list_dot_product(a, b))) as gram, list_sum(list_transform(c, lambda a: list_dot_product(a, a))) as most from matrix
+),
+means as (select {_KEY}, label, avg(v) as m from drawn join valued using (instance_id) where split = 'test' group by {_KEY}, label),
+bags as (select {_KEY}, list(m order by label) as q from means group by {_KEY}),
+rounds as (
+  select {_KEY}, list_transform(c, lambda a: list_dot_product(a, q)) as t, g as p, g as look, 1::double as momentum, 0 as i from bags, prior, grams
+  union all
+  select {_KEY}, t, f as p, list_transform({_K}, lambda j: f[j] + (momentum - 1) / ((1 + sqrt(1 + 4 * momentum * momentum)) / 2) * (f[j] - p[j])) as look,
+    case when i % 50 = 49 then 1::double else (1 + sqrt(1 + 4 * momentum * momentum)) / 2 end, i + 1
+  from (
+    select *, list_transform(v, lambda x: greatest(0::double, x - theta)) as f
+    from (
+      select *, list_max(list_transform({_K}, lambda j: (u[j] - 1) / j)) as theta
+      from (
+        select *, {sums} as u
+        from (select r.*, list_transform({_K}, lambda j: look[j] - (list_dot_product(gram[j], look) - t[j]) / most) as v from rounds r, grams where i < 2500)
+      )
+    )
+  )
+)
+select {_KEY}, unnest(['{"', '".join(sorted(LABELS))}']) as label, round(unnest(p), 5) as p_pred from rounds where i = 2500"""
+
+
+SQL["gac"] = _mixture_sql("(pred = label)::int::double")
+SQL["gpac"] = _mixture_sql("p")
+SQL["fm"] = _mixture_sql("(p >= prior)::int::double")
+SQL["hdx"] = f"""
+with recursive {SCORES_SQL},{_TESTED},
+flat as (select instance_id, split, y, unnest(features) as v, generate_subscripts(features, 1)::int - 1 as feature from inst),
+edges as (
+  select feature, list_distinct(quantile_cont(v, [{', '.join(f'{i / 8}' for i in range(1, 8))}])) as e from flat where split = 'train' group by feature
+),
+coded as (select instance_id, split, y, feature * 8 + len(list_filter(e, lambda x: x <= v)) as cell from flat join edges using (feature)),
+cells as (select unnest(range(160)) as cell),
+rows_of as (select y, count(*) as n from inst where split = 'train' group by y),
+matrix as (
+  select list(c order by y) as c from (
+    select r.y, list(coalesce(k, 0) / r.n::double order by s.cell) as c
+    from rows_of r cross join cells s left join (select y, cell, count(*) as k from coded where split = 'train' group by y, cell) h on h.y = r.y and h.cell = s.cell group by r.y
+  )
+),
+counts as (select {_KEY}, cell, count(*) as k from drawn join coded using (instance_id) where split = 'test' group by {_KEY}, cell),
+sizes as (select {_KEY}, sum(k) / 20 as n from counts group by {_KEY}),
+bags as (
+  select protocol, bag_size, bag_index, list(coalesce(k, 0) / z.n::double order by s.cell) as q
+  from sizes z cross join cells s left join counts c using (protocol, bag_size, bag_index, cell) group by protocol, bag_size, bag_index
+),
+rounds as (
+  select {_KEY}, q, list_transform(g, lambda x: (x + 1e-9::double) / (1 + {len(LABELS)} * 1e-9::double)) as p, 0 as i, false as done from bags, prior
+  union all
+  select {_KEY}, q, f, i + 1, list_max(list_transform({_K}, lambda j: abs(f[j] - p[j]))) < 1e-10::double
+  from (
+    select *, list_transform(w, lambda x: x / list_sum(w)) as f
+    from (
+      select *, list_transform({_K}, lambda j: p[j] * list_dot_product(c[j], ratio)) as w
+      from (
+        select r.*, c, list_transform(range(1, 161), lambda a: sqrt(q[a] / greatest(list_sum(list_transform({_K}, lambda j: c[j][a] * p[j])), 1e-15::double))) as ratio
+        from rounds r, matrix where not done and i < 500
+      )
+    )
+  )
+)
+select {_KEY}, unnest(['{"', '".join(sorted(LABELS))}']) as label, round(unnest(p), 5) as p_pred
+from (select * from rounds qualify row_number() over (partition by {_KEY} order by i desc) = 1)"""
