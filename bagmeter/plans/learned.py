@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def hdx(spark, sf_dir):
 
 
 def readme(spark, sf_dir):
-    return iterative.readme(*_featured(spark, sf_dir), BAG, "features", scoring.WIDTH)
+    return _rounded(iterative.readme(*_featured(spark, sf_dir), BAG, "features", scoring.WIDTH))
 
 
 def energy_distance(spark, sf_dir):
@@ -305,23 +306,14 @@ prior as (select list(coalesce(n, 0) / total::double order by label) as g from (
 ))"""
 
 
-def _mixture_sql(vector: str) -> str:
-    """Accelerated projected gradients, begun anew every 50 rounds; ``vector`` is the value of each row and label."""
+def _descent(key: str, rounds: int) -> str:
+    """Accelerated projected gradients, begun anew every 50 rounds, from ``bags`` (key, t, part) and ``grams`` (part, gram, most)."""
     sums = f"list_transform({_K}, lambda j: list_sum(list_slice(list_reverse_sort(v), 1, j)))"
     return f"""
-with recursive {SCORES_SQL},{_TESTED},
-valued as (select s.instance_id, split, y, label, p, pred, {vector} as v from scores s, (select unnest(g) as prior, unnest(['{"', '".join(sorted(LABELS))}']) as name from prior) z where z.name = label),
-columns as (select y, label, avg(v) as m from valued where split = 'train' group by y, label),
-matrix as (select list(c order by y) as c from (select y, list(m order by label) as c from columns group by y)),
-grams as (
-  select c, list_transform(c, lambda a: list_transform(c, lambda b: list_dot_product(a, b))) as gram, list_sum(list_transform(c, lambda a: list_dot_product(a, a))) as most from matrix
-),
-means as (select {_KEY}, label, avg(v) as m from drawn join valued using (instance_id) where split = 'test' group by {_KEY}, label),
-bags as (select {_KEY}, list(m order by label) as q from means group by {_KEY}),
 rounds as (
-  select {_KEY}, list_transform(c, lambda a: list_dot_product(a, q)) as t, g as p, g as look, 1::double as momentum, 0 as i from bags, prior, grams
+  select {key}, part, t, g as p, g as look, 1::double as momentum, 0 as i from bags, prior
   union all
-  select {_KEY}, t, f as p, list_transform({_K}, lambda j: f[j] + (momentum - 1) / ((1 + sqrt(1 + 4 * momentum * momentum)) / 2) * (f[j] - p[j])) as look,
+  select {key}, part, t, f as p, list_transform({_K}, lambda j: f[j] + (momentum - 1) / ((1 + sqrt(1 + 4 * momentum * momentum)) / 2) * (f[j] - p[j])) as look,
     case when i % 50 = 49 then 1::double else (1 + sqrt(1 + 4 * momentum * momentum)) / 2 end, i + 1
   from (
     select *, list_transform(v, lambda x: greatest(0::double, x - theta)) as f
@@ -329,14 +321,66 @@ rounds as (
       select *, list_max(list_transform({_K}, lambda j: (u[j] - 1) / j)) as theta
       from (
         select *, {sums} as u
-        from (select r.*, list_transform({_K}, lambda j: look[j] - (list_dot_product(gram[j], look) - t[j]) / most) as v from rounds r, grams where i < 2500)
+        from (
+          select r.*, list_transform({_K}, lambda j: look[j] - (list_dot_product(gram[j], look) - t[j]) / most) as v
+          from rounds r join grams using (part) where i < {rounds}
+        )
       )
     )
   )
-)
-select {_KEY}, unnest(['{"', '".join(sorted(LABELS))}']) as label, round(unnest(p), 5) as p_pred from rounds where i = 2500"""
+),
+last as (select {key}, part, unnest(['{"', '".join(sorted(LABELS))}']) as label, unnest(p) as p from rounds where i = {rounds})"""
+
+
+_GRAMS = "list_transform(c, lambda a: list_transform(c, lambda b: list_dot_product(a, b))) as gram, list_sum(list_transform(c, lambda a: list_dot_product(a, a))) as most"
+
+
+def _mixture_sql(vector: str) -> str:
+    """The best mixture of the classes' means of ``vector``, the value of each row and label."""
+    return f"""
+with recursive {SCORES_SQL},{_TESTED},
+valued as (select s.instance_id, split, y, label, p, pred, {vector} as v from scores s, (select unnest(g) as prior, unnest(['{"', '".join(sorted(LABELS))}']) as name from prior) z where z.name = label),
+columns as (select y, label, avg(v) as m from valued where split = 'train' group by y, label),
+matrix as (select list(c order by y) as c from (select y, list(m order by label) as c from columns group by y)),
+grams as (select 0 as part, c, {_GRAMS} from matrix),
+means as (select {_KEY}, label, avg(v) as m from drawn join valued using (instance_id) where split = 'test' group by {_KEY}, label),
+bags as (
+  select {_KEY}, 0 as part, list_transform(any_value(c), lambda a: list_dot_product(a, list(m order by label))) as t from means, matrix group by {_KEY}
+),{_descent(_KEY, 2500)}
+select {_KEY}, label, round(p, 5) as p_pred from last"""
+
+
+def _readme_sql(bins: int = 2, subset: int = 5, subsets: int = 8, seed: int = 7) -> str:
+    rng = np.random.default_rng(seed)
+    chosen = [sorted(int(i) for i in rng.choice(scoring.WIDTH, subset, replace=False)) for _ in range(subsets)]
+    picks = ", ".join(f"({part}, {i}, {bins**at})" for part, some in enumerate(chosen) for at, i in enumerate(some))
+    return f"""
+with recursive {SCORES_SQL},{_TESTED},
+flat as (select instance_id, split, y, unnest(features) as v, generate_subscripts(features, 1)::int - 1 as feature from inst),
+edges as (select feature, quantile_cont(v, 0.5) as e from flat where split = 'train' group by feature),
+picks as (select * from (values {picks}) x(part, feature, worth)),
+coded as (select instance_id, split, y, part, sum((v >= e)::int * worth)::int as cell from flat join edges using (feature) join picks using (feature) group by all),
+every as (select part, cell from (select unnest(range({subsets})) as part), (select unnest(range({bins**subset})) as cell)),
+rows_of as (select y, count(*) as n from inst where split = 'train' group by y),
+columns as (
+  select r.y, s.part, list(coalesce(k, 0) / r.n::double order by s.cell) as c
+  from rows_of r cross join every s left join (select y, part, cell, count(*) as k from coded where split = 'train' group by y, part, cell) h on h.y = r.y and h.part = s.part and h.cell = s.cell
+  group by r.y, s.part
+),
+matrix as (select part, list(c order by y) as c from columns group by part),
+grams as (select part, c, {_GRAMS} from matrix),
+counts as (select {_KEY}, part, cell, count(*) as k from drawn join coded using (instance_id) where split = 'test' group by {_KEY}, part, cell),
+sizes as (select {_KEY}, part, sum(k) as n from counts group by {_KEY}, part),
+bag_shares as (
+  select z.protocol, z.bag_size, z.bag_index, s.part, list(coalesce(k, 0) / z.n::double order by s.cell) as q
+  from sizes z join every s using (part) left join counts c on c.protocol = z.protocol and c.bag_size = z.bag_size and c.bag_index = z.bag_index and c.part = s.part and c.cell = s.cell
+  group by z.protocol, z.bag_size, z.bag_index, s.part
+),
+bags as (select {_KEY}, part, list_transform(c, lambda a: list_dot_product(a, q)) as t from bag_shares join matrix using (part)),{_descent(_KEY, 1500)}
+select {_KEY}, label, round(avg(p), 5) as p_pred from last group by {_KEY}, label"""
 
 
+SQL["readme"] = _readme_sql()
 SQL["gac"] = _mixture_sql("(pred = label)::int::double")
 SQL["gpac"] = _mixture_sql("p")
 SQL["fm"] = _mixture_sql("(p >= prior)::int::double")
