@@ -71,7 +71,7 @@ def readme(spark, sf_dir):
 
 
 def energy_distance(spark, sf_dir):
-    return iterative.energy_distance(*_featured(spark, sf_dir), BAG, "features")
+    return _rounded(iterative.energy_distance(*_featured(spark, sf_dir), BAG, "features"))
 
 
 def discretized_features(spark, sf_dir):
@@ -422,3 +422,23 @@ rounds as (
 )
 select {_KEY}, unnest(['{"', '".join(sorted(LABELS))}']) as label, round(unnest(p), 5) as p_pred
 from (select * from rounds qualify row_number() over (partition by {_KEY} order by i desc) = 1)"""
+_POOLED = f"""
+with {SCORES_SQL},
+points as (
+  select label, p, avg((y = label)::int) as t, count(*) as w, row_number() over (partition by label order by p) as i
+  from scores where split = 'train' group by label, p
+),
+sums as (select *, sum(w * t) over (partition by label order by i) as st, sum(w) over (partition by label order by i) as sw from points),
+stretches as (
+  select a.label, a.i as j, b.i as k, (b.st - a.st + a.w * a.t) / (b.sw - a.sw + a.w) as m from sums a join sums b on a.label = b.label and a.i <= b.i
+),
+lows as (select label, j, k as i, min(m) over (partition by label, j order by k desc) as low from stretches),
+pooled as (select label, p, v, i from (select label, i, max(low) as v from lows group by label, i) join points using (label, i)),
+asked as (select instance_id, label, p, (y = label)::int as is_true from scores where split = 'test'),
+below as (select a.*, l.p as lp, l.v as lv, l.i as li from asked a asof left join pooled l on a.label = l.label and a.p >= l.p),
+mapped as (
+  select b.instance_id, b.label, b.is_true, case when lp is null then f.v when lp = b.p or h.p is null then lv else lv + (h.v - lv) * (b.p - lp) / (h.p - lp) end as raw
+  from below b left join pooled h on h.label = b.label and h.i = b.li + 1 left join pooled f on f.label = b.label and f.i = 1
+),
+{_NORMAL}"""
+SQL["isotonic"] = _ece(_POOLED, "label", "q", "is_true = 1", _uniform_bin("q", 15)).replace("{rows}", "normal").replace(", 9) as ece", ", 6) as ece")
