@@ -93,17 +93,22 @@ def app_truth(bags: DataFrame, seed: int = 7, positive: int = 1) -> DataFrame:
     )
 
 
-def ranked_pool(pool: DataFrame, label: str, unit: str) -> DataFrame:
-    """``label``, ``unit``, ``rank``, ``pool_n``: dense ranks from 0 in the order of ``unit`` within each class."""
-    return ranked(pool.select(label, unit), [label], F.col(unit), [], "rank", "pool_n")
+#: A class with so few instances is sent to all tasks: many draws share each of them.
+SMALL_POOL = 10_000
 
 
-def members(truth: DataFrame, pool: DataFrame, unit: str, seed: int = 7) -> DataFrame:
-    """``bag_size``, ``bag_index``, ``label``, ``pos``, ``unit``: draws with replacement, as many per class as the truth says.
+def ranked_pool(pool: DataFrame, label: str, unit: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``label``, ``unit``, ``carry``, ``rank``, ``pool_n``: dense ranks from 0 in the order of ``unit`` within each class."""
+    return ranked(pool.select(label, unit, *carry), [label], F.col(unit), [], "rank", "pool_n")
 
-    ``pool``: ``label`` and ``unit``, one row per instance. A class that is asked for and has no pool raises an error.
+
+def members(truth: DataFrame, pool: DataFrame, unit: str, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``bag_size``, ``bag_index``, ``label``, ``pos``, ``unit``, ``carry``: draws with replacement, as many per class as the truth says.
+
+    ``pool``: ``label``, ``unit`` and ``carry``, columns that come with the drawn instance, one row per instance. A class that is asked for and
+    has no pool raises an error. Draws of large classes are joined by shuffle on the rank, which is spread evenly; those of small ones by broadcast.
     """
-    ranks = stage(ranked_pool(pool, "label", unit), "pool")  # read for the sizes and for the draws
+    ranks = stage(ranked_pool(pool, "label", unit, carry), "pool")  # read for the sizes and for the draws
     sizes = ranks.groupBy("label").agg(F.max("pool_n").alias("pool_n"))
     wanted = truth.where("n > 0")
     lost = [r["label"] for r in wanted.select("label").distinct().join(sizes, "label", "left_anti").limit(100).collect()]
@@ -115,4 +120,7 @@ def members(truth: DataFrame, pool: DataFrame, unit: str, seed: int = 7) -> Data
         .withColumn("pos", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .withColumn("rank", F.floor(draw * F.col("pool_n")))
     )
-    return places.select(*BAG, "label", "pos", "rank").join(ranks.select("label", "rank", unit), ["label", "rank"]).select(*BAG, "label", "pos", unit)
+    few, columns = F.col("pool_n") <= SMALL_POOL, ["label", "rank", unit, *carry]
+    small = places.where(few).select(*BAG, "label", "pos", "rank").join(F.broadcast(ranks.where(few).select(*columns)), ["label", "rank"])
+    large = places.where(~few).select(*BAG, "label", "pos", "rank").join(ranks.where(~few).select(*columns), ["label", "rank"])
+    return small.unionByName(large).select(*BAG, "label", "pos", unit, *carry)

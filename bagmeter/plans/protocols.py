@@ -169,8 +169,7 @@ def capp_cc_summary(spark, sf_dir):
     """Flagship: draw bags within risk bands, classify and count, and report errors by bag size."""
     scored = scores(spark, sf_dir).where("split = 'test'").select("instance_id", "y", "pred")
     truth = bags.capp_truth(_bags(spark, sf_dir, "C-APP"))
-    drawn = bags.members(truth, scored.select(F.col("y").alias("label"), "instance_id"), "instance_id")
-    rows = drawn.select("bag_size", "bag_index", "instance_id").join(scored.select("instance_id", "pred"), "instance_id")
+    rows = bags.members(truth, scored.select(F.col("y").alias("label"), "instance_id", "pred"), "instance_id", carry=("pred",))
     sizes = [F.avg((F.col("pred") == x).cast("double")).alias(x) for x in LABELS]
     wide = rows.groupBy("bag_size", "bag_index").agg(*sizes)
     parts = F.array(*(F.struct(F.lit(x).alias("label"), F.col(x).alias("p_pred")) for x in LABELS))

@@ -134,7 +134,7 @@ def slice_stats(spark, sf_dir):
 def named_results(spark, sf_dir):
     """Mean error by "method - classifier"."""
     out = results(spark, sf_dir).groupBy(F.concat_ws(" - ", "method", "classifier").alias("name")).agg(F.avg("mae").alias("mae"))
-    return _rounded(out, "mae")
+    return out.withColumn("mae", F.round("mae", 12))  # nine decimals would end in halves
 
 
 def histogram_prevalence(spark, sf_dir):
@@ -266,7 +266,7 @@ select method, bag_size, round(any_value(q1), 9) as q1, round(any_value(m), 9) a
 from results join q using (method, bag_size) group by method, bag_size""",
     "slice_stats": f"""with {_RESULTS}
 select classifier, round(stddev_samp(mae), 9) as std, round(avg(mae), 9) as mean from results where bag_size = 100 and method in ('ACC', 'PACC') group by classifier""",
-    "named_results": f"with {_RESULTS} select method || ' - ' || classifier as name, round(avg(mae), 9) as mae from results group by all",
+    "named_results": f"with {_RESULTS} select method || ' - ' || classifier as name, round(avg(mae), 12) as mae from results group by all",
     "histogram_prevalence": f"""with shares as (
   select {_T.format('label')} as label, n / bag_size::double as share from (select distinct * from bag_prevalences) where n is not null
 ),
