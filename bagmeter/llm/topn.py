@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bagmeter.functions.ranks import order_bits
+from bagmeter.sources.scratch import stage
 
 #: Lowest bits of a score's order that a histogram leaves out: bins are sixteenths of a power of two.
 BIN_BITS = 48
 #: Slots that tell apart the rows of one bin.
 SLOTS = 64
+#: Limits are broadcast for up to so many groups (about 100 bytes each), else joined by shuffle.
+BROADCAST_GROUPS = 200_000
 #: Rows of one group that are ranked in one task.
 RANK_ROWS = 10_000
 
@@ -55,6 +58,9 @@ def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int)
     most = limits(rows, groups, score, row_hash, n).select(
         *(F.col(g).alias(k) for g, k in zip(groups, named)), F.col("bin").alias("_rank_bin"), F.col("kept").alias("_rank_kept")
     )
+    most = stage(most, "topn-limits")
+    if most.count() <= BROADCAST_GROUPS:  # then rows are dropped where they are read
+        most = F.broadcast(most)
     on = [F.col(g).eqNullSafe(F.col(k)) for g, k in zip(groups, named)]
     kept = rows.join(most, on).where(_bin(s) <= F.col("_rank_bin"))
     salt = F.pmod(row_hash, F.ceil(F.col("_rank_kept") / RANK_ROWS))

@@ -27,6 +27,7 @@ def _brute(rows, n):
 
 @pytest.mark.parametrize("part", [10_000, 20])
 def test_equals_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr("bagmeter.llm.topn.BROADCAST_GROUPS", part - 20)
     monkeypatch.setattr("bagmeter.llm.topn.RANK_ROWS", part)
     rnd = random.Random(4)
     rows = [("hot", rnd.choice([0.1, 0.1, 0.2, rnd.random(), -1e6, 3e300]), f"t{i}", "p", 1) for i in range(400)]
