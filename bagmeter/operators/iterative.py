@@ -214,10 +214,8 @@ def coded_matrix(train: DataFrame, codes: Column, parts: int, size: int, labels:
 
 def coded_means(bags: DataFrame, keys: list[str], codes: Column, size: int) -> DataFrame:
     """``keys``, ``q``: the counts of the codes of each bag, as (part and code, count) of those that occur."""
-    coded = bags.select(*keys, F.transform(codes, lambda c, part: part * size + c).alias("c"))
-    # members of a bag with the same codes are one row before they are taken apart
-    flat = coded.groupBy(*keys, "c").agg(F.count("*").alias("w")).select(*keys, "w", F.explode("c").alias("at"))
-    counts = flat.groupBy(*keys, "at").agg(F.sum("w").cast("double").alias("n"))
+    flat = bags.select(*keys, F.explode(F.transform(codes, lambda c, part: part * size + c)).alias("at"))
+    counts = flat.groupBy(*keys, "at").agg(F.count("*").cast("double").alias("n"))  # combined before the shuffle
     # at most parts x size entries per bag
     return counts.groupBy(*keys).agg(F.collect_list(F.array(F.col("at").cast("double"), F.col("n"))).alias("q"))
 
