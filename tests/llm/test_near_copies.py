@@ -100,3 +100,33 @@ def test_report_counts_pairs_by_class(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {r["split"]: (r["pairs"], r["units"]) for r in near_copies.copy_report(df, "unit", "split", "features", "train", ["valid", "test"], ["split"]).collect()}
     assert got == {k: (n, len(u)) for k, (n, u) in want.items()}
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 1e6, 1e14, 1e15, 1e300])
+def test_sketches_of_near_vectors_may_agree(spark, scale):
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(0, scale, (2000, 20))
+    y = np.clip(x + rnd.choice([-0.02, 0.02, 0.011, 0.0], x.shape), x - 0.02, x + 0.02)
+    far = rnd.normal(0, 1, x.shape)
+    for i in range(2000):  # up to three other positions
+        y[i, rnd.choice(20, i % 4, replace=False)] = rnd.choice([5.5, np.nan])
+    agree = (np.abs(x - y) <= 0.02 + 1e-9).sum(axis=1)
+    a, b, c = (near_copies.sketches(v) for v in (x, y, far))
+    df = spark.createDataFrame([(int(p), int(q), int(r), int(n)) for p, q, r, n in zip(a, b, c, agree)], "a long, b long, c long, n int")
+    got = df.select("n", near_copies.may_agree("a", "b").alias("near"), near_copies.may_agree("a", "c").alias("chance")).collect()
+    assert all(r["near"] for r in got if r["n"] >= 17) and sum(r["n"] >= 17 for r in got) > 300
+    assert sum(r["chance"] for r in got) < 20
+
+
+def test_chance_pairs_and_bucket_rows_of_all_bands_are_not_kept(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["train", "test"]), [rnd.choice([0.1, 0.9]) + round(rnd.random() / 100, 3) for _ in range(20)], 0, "") for i in range(1500)]
+    vectors = near_copies.comparable(spark.createDataFrame(rows, SCHEMA), "unit", "split", "features", "train", ["test"])
+    most = []
+    real = near_copies._buckets
+    monkeypatch.setattr(near_copies, "_buckets", lambda v, p, some, hot: most.append(len(some)) or real(v, p, some, hot))
+    pairs = near_copies._candidates(vectors).count()
+    assert pairs <= 2 * len(_brute(rows)) + 50
+    assert max(most[2:]) == 2
