@@ -263,25 +263,31 @@ def readme(
 #: Bytes of training vectors that are sent to the tasks in one pass; more vectors make more passes.
 PASS_BYTES = 8_000_000
 #: Rows and columns of a tile of distances.
-TILE = 512
+TILE = 256
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def folded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two matrices whose product has the squared distances of the rows of ``a`` and ``b``."""
+    left = np.column_stack([a, (a * a).sum(1), np.ones(len(a))])
+    right = np.column_stack([-2 * b, np.ones(len(b)), (b * b).sum(1)])
+    return left, np.ascontiguousarray(right.T)
+
+
 def distance_sums(a: np.ndarray, points: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Sums of the distances of each row of ``a`` to the weighted vectors of each class."""
     out = np.zeros((len(a), len(points)))
     for c, (b, weight) in enumerate(points):
+        if not len(b):
+            continue
+        left, right = folded(a, b)
         for i in range(0, len(a), TILE):
-            x = a[i : i + TILE]
+            x = left[i : i + TILE]
             for j in range(0, len(b), TILE):
-                y = b[j : j + TILE]
-                square = x @ y.T
-                square *= -2
-                square += (x * x).sum(1)[:, None]
-                square += (y * y).sum(1)
+                square = x @ right[:, j : j + TILE]
                 out[i : i + TILE, c] += np.sqrt(np.maximum(square, 0, out=square), out=square) @ weight[j : j + TILE]
     return out
 

@@ -51,3 +51,14 @@ def test_large_bags_take_rounds_over_all_tasks(spark, monkeypatch):
         results.append({(r["k"], r["label"]): r["p_pred"] for r in iterative.emq(df, df.where("k = 1 or y <> 'N'"), ["k"], labels).collect()})
     assert results[0].keys() == results[1].keys() and len(results[0]) == 6
     assert all(abs(results[0][k] - results[1][k]) < 1e-3 for k in results[0])
+
+
+def test_squared_distances_are_one_product():
+    rng = np.random.default_rng(4)
+    a, b, w = rng.normal(0, 1, (700, 20)), rng.normal(0.5, 2, (515, 20)), rng.integers(1, 4, 515).astype(float)
+    square = ((a[:, None] - b[None]) ** 2).sum(-1)
+    left, right = iterative.folded(a, b)
+    assert np.allclose(left @ right, square, atol=1e-10)
+    got = iterative.distance_sums(a, [(b, w), (np.zeros((0, 20)), np.zeros(0)), (a, np.ones(700))])
+    assert np.allclose(got[:, 0], np.sqrt(square) @ w, rtol=1e-12) and not got[:, 1].any()
+    assert np.allclose(got[:, 2], np.sqrt(((a[:, None] - a[None]) ** 2).sum(-1)).sum(1), rtol=1e-8)
