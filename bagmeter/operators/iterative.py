@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bagmeter.config import LABELS
+from bagmeter.functions.distance_series import WIDTHS, Series, nearest
 from bagmeter.functions.ranks import percentiles
 from bagmeter.operators import solvers
 from bagmeter.sources.scratch import drop, stage
@@ -264,6 +265,12 @@ def readme(
 PASS_BYTES = 8_000_000
 #: Rows and columns of a tile of distances.
 TILE = 256
+#: A vector that is a larger part of its class than one of so many rows is measured pair by pair, so is every vector of a class of fewer rows.
+SERIES_ROWS = 10_000
+#: A class whose distances get a larger part than this (root mean square) from the last polynomial of their series is measured pair by pair.
+LAST_PART = 1e-5
+#: Rows that a task sums up for a series, and numbers of such sums in a row.
+SUMMED_ROWS, PIECE = 100_000, 8192
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -320,14 +327,115 @@ def _between_classes(points: list[tuple[np.ndarray, np.ndarray]]):
     return run
 
 
+def _class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        if len(batch):
+            c, x, w = batch.column("c").to_numpy(), _vectors(batch.column("x")), batch.column("w").to_numpy()
+            for i in np.unique(c):
+                yield int(i), x[c == i], w[c == i]
+
+
+def _weighted_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for i, x, w in _class_rows(batches):
+        yield pa.RecordBatch.from_pydict({"c": pa.array([i], pa.int32()), "n": [w.sum()], "v": [w @ x]})
+
+
+def _radii(centres: dict[int, np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, x, _ in _class_rows(batches):
+            at = nearest(x, i, centres)
+            for g in np.unique(at):
+                r = np.sqrt(((x[at == g] - centres[int(g)]) ** 2).sum(1))
+                yield pa.RecordBatch.from_pydict({"c": pa.array([g], pa.int32()), "low": [r.min()], "high": [r.max()]})
+
+    return run
+
+
+def _series_sums(centres: dict[int, np.ndarray], empty: dict[int, tuple]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, Series] = {}
+        for i, x, w in _class_rows(batches):
+            at = nearest(x, i, centres)
+            for g in map(int, np.unique(at)):
+                if g not in parts:
+                    parts[g] = Series.empty(*empty[g])
+                parts[g].add(x[at == g], w[at == g], i)
+        for g, part in parts.items():
+            flat = np.concatenate([s.ravel() for s in part.sums])
+            for at in range(0, len(flat), PIECE):
+                yield pa.RecordBatch.from_pydict({"c": pa.array([g], pa.int32()), "at": pa.array([at], pa.int32()), "v": [flat[at : at + PIECE]]})
+
+    return run
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.iloc[:1].assign(v=[np.sum(np.stack(rows["v"].to_list()), axis=0)])
+
+
+def class_series(rows: DataFrame, k: int) -> dict[int, Series]:
+    """The series of each of ``k`` classes from ``c``, ``x``, ``w``; only sums reach the driver."""
+    first = rows.select(F.size("x")).first()
+    if first is None or not WIDTHS[0] <= first[0] <= WIDTHS[1]:
+        return {}
+    n, v = {}, {}
+    for r in rows.mapInArrow(_weighted_sums, "c int, n double, v array<double>").toLocalIterator():
+        n[r["c"]], v[r["c"]] = n.get(r["c"], 0) + r["n"], v.get(r["c"], 0) + np.array(r["v"])
+    centres = {i: v[i] / n[i] for i in sorted(n)}
+    spans = rows.mapInArrow(_radii(centres), "c int, low double, high double").groupBy("c").agg(F.min("low"), F.max("high")).collect()
+    spans = {g: (low, high) for g, low, high in spans}
+    empty = {g: (g, k, centres[g], *spans.get(g, (0.0, 0.0))) for g in centres}
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // SUMMED_ROWS)
+    summed = rows.coalesce(tasks).mapInArrow(_series_sums(centres, empty), "c int, at int, v array<double>")
+    pieces = summed.groupBy("c", "at").applyInPandas(_added, "c int, at int, v array<double>").toArrow().combine_chunks()
+    at, c, values = pieces["at"].to_numpy(), pieces["c"].to_numpy(), pieces["v"]
+    out = {g: Series.empty(*empty[g]) for g in centres}
+    for g in spans:
+        flat = np.concatenate([values[int(p)].values.to_numpy() for p in sorted(np.flatnonzero(c == g), key=lambda p: at[p])])
+        ends = np.cumsum([s.size for s in out[g].sums])
+        out[g].sums = [part.reshape(s.shape) for s, part in zip(out[g].sums, np.split(flat, ends[:-1]))]
+    return out
+
+
+def _series_between(series: dict[int, Series], n: np.ndarray):
+    """Of each class to itself and to the larger ones: sums of distances, of their squares and of the squares of the last polynomial."""
+    centres = {g: s.centre for g, s in series.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, x, w in _class_rows(batches):
+            to = [j for j in series if (n[i], i) <= (n[j], j)]
+            at, d = nearest(x, i, centres), np.zeros((2, len(n), len(x)))
+            for g, s in series.items():
+                for some, itself in ((at == g, (i, w[at == g])), (at != g, None)):
+                    d[:, :, some] += s.distances(x[some], itself, whole=g in to)
+            d = d[:, to]
+            yield pa.RecordBatch.from_pydict(
+                {"c": pa.array([i] * len(to), pa.int32()), "other": pa.array(to, pa.int32()), "s": d[0] @ w, "squares": d[0] ** 2 @ w, "last": d[1] ** 2 @ w}
+            )
+
+    return run
+
+
+def _series_to_classes(series: dict[int, Series]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x = _vectors(batch.column("x"))
+                d = sum(s.distances(x) for s in series.values())
+                yield pa.RecordBatch.from_pydict({"x": batch.column("x"), "w": batch.column("w")} | {f"{name}{i}": d[at, i] for i in series for at, name in enumerate("dl")})
+
+    return run
+
+
 def energy_distance(train: DataFrame, bags: DataFrame, keys: list[str], features: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """Class shares whose mixture has least energy distance to the bag.
 
     Mean distances are those over all training rows: between the rows of two classes (of a class, between different
-    rows), and from each row of a bag to the rows of a class. Equal vectors are counted and measured once. The
-    training vectors are sent to the tasks in passes of bounded size; a pass adds up distances to its block from
-    each distinct vector of the bags and from the training vectors of this block and the blocks before it. The work
-    grows with the square of the training rows. Classes without training rows get a share of 0.
+    rows), and from each row of a bag to the rows of a class. Equal vectors are counted and measured once. Distances
+    to the vectors of classes beyond ``SERIES_ROWS`` rows come from a series (``distance_series``), so the work grows
+    with the rows; where its last polynomial still counts, and for small classes and frequent vectors, from all pairs.
+    Vectors whose pairs are measured are sent to the tasks in passes of bounded size; a pass adds up distances to its
+    block from each distinct vector of the bags, from the training vectors of this block and the blocks before it, and
+    from those in a series. Classes without training rows get a share of 0.
     """
     spark, k = train.sparkSession, len(labels)
     index = (F.array_position(F.array(*map(F.lit, labels)), F.col("y")) - 1).cast("int")
@@ -337,11 +445,37 @@ def energy_distance(train: DataFrame, bags: DataFrame, keys: list[str], features
     counted = rows.groupBy(index.alias("c"), vector.alias("x")).agg(F.count("*").cast("double").alias("w"))
     trained = stage(counted.repartition(tasks), "train-vectors")
     asked = stage(bags.where(F.col(features).isNotNull()).groupBy(*keys, vector.alias("x")).agg(F.count("*").alias("n")), "bag-vectors")
-    units = stage(asked.select("x").distinct().repartition(tasks), "test-vectors")
-    passes = 1 + int(trained.agg(F.coalesce(F.sum(F.size("x")), F.lit(0))).first()[0]) * 8 // PASS_BYTES
-    part = F.pmod(F.xxhash64("c", "x"), F.lit(passes))
-    sums, far = np.zeros((k, k)), None
-    for at in range(passes):
+    units = stage(asked.groupBy("x").agg(F.sum("n").cast("double").alias("w")).repartition(tasks), "test-vectors")
+    n = np.zeros(k)
+    for r in trained.groupBy("c").agg(F.sum("w").alias("n")).collect():
+        n[r["c"]] = r["n"]
+    paired = F.col("w") * SERIES_ROWS >= F.element_at(F.array(*(F.lit(float(v)) for v in n)), F.col("c") + 1)
+    series = class_series(trained.where(~paired), k)
+    sums, squares, last, far = np.zeros((k, k)), np.zeros((k, k)), np.zeros((k, k)), None
+    if series:
+        for r in (
+            trained.where(~paired & F.col("c").isin(*series))
+            .mapInArrow(_series_between(series, n), "c int, other int, s double, squares double, last double")
+            .groupBy("c", "other")
+            .agg(F.sum("s").alias("s"), F.sum("squares").alias("squares"), F.sum("last").alias("last"))
+            .collect()
+        ):
+            i, j = r["c"], r["other"]
+            sums[i, j] = sums[j, i] = r["s"]
+            squares[i, j], last[i, j] = r["squares"], r["last"]
+        far = stage(units.mapInArrow(_series_to_classes(series), ", ".join(["x array<double>, w double", *(f"d{i} double, l{i} double" for i in series)])), "series-distances")
+        of = far.agg(*(F.coalesce(F.sum(F.col("w") * F.col(f"{name}{i}") ** 2), F.lit(0.0)).alias(f"{name}{i}") for i in series for name in "dl")).first()
+        loose = lambda part, whole: part > LAST_PART**2 * whole
+        kept = [i for i in series if not loose(of[f"l{i}"], of[f"d{i}"]) and not loose(last[:, i], squares[:, i]).any()]
+        dropped = [i for i in range(k) if i not in kept]
+        sums[dropped] = sums[:, dropped] = 0
+        far = far.select("x", *(F.col(f"d{i}") if i in kept else F.lit(0.0).alias(f"d{i}") for i in range(k))) if kept else None
+        paired = paired | ~F.col("c").isin(*kept)
+    else:
+        paired = F.lit(True)
+    size = int(trained.where(paired).agg(F.coalesce(F.sum(F.size("x")), F.lit(0))).first()[0]) * 8
+    part = F.when(paired, F.pmod(F.xxhash64("c", "x"), F.lit(1 + size // PASS_BYTES))).otherwise(-1)
+    for at in range(1 + size // PASS_BYTES if size or far is None else 0):
         block = trained.where(part == at).toArrow().combine_chunks()
         c, w = block["c"].to_numpy(), block["w"].to_numpy()
         x = np.vstack([_vectors(chunk) for chunk in block["x"].chunks if len(chunk)]) if len(block) else np.zeros((0, 0))
@@ -351,9 +485,6 @@ def energy_distance(train: DataFrame, bags: DataFrame, keys: list[str], features
             sums[r["c"], r["other"]] += r["s"]
         away = stage(units.mapInArrow(_to_classes(points), ", ".join(["x array<double>", *(f"d{i} double" for i in range(k))])), "distances")
         far = away if far is None else far.unionByName(away)
-    n = np.zeros(k)
-    for r in trained.groupBy("c").agg(F.sum("w").alias("n")).collect():
-        n[r["c"]] = r["n"]
     between = sums / np.maximum(np.outer(n, n) - np.diag(n), 1)
     held = np.flatnonzero(n)
 

@@ -62,3 +62,23 @@ def test_squared_distances_are_one_product():
     got = iterative.distance_sums(a, [(b, w), (np.zeros((0, 20)), np.zeros(0)), (a, np.ones(700))])
     assert np.allclose(got[:, 0], np.sqrt(square) @ w, rtol=1e-12) and not got[:, 1].any()
     assert np.allclose(got[:, 2], np.sqrt(((a[:, None] - a[None]) ** 2).sum(-1)).sum(1), rtol=1e-8)
+
+
+def test_energy_distance_by_series_equals_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    centre = {"N": rng.normal(0, 1, 20), "V": rng.normal(0, 1, 20)}
+    x = {y: np.vstack([rng.normal(c, 0.8, (3000, 20)), rng.normal(centre["NV"[y == "N"]], 0.8, (15, 20)), np.tile(c + 0.1, (40, 1))]) for y, c in centre.items()}
+    train = spark.createDataFrame([(y, v.tolist()) for y in x for v in x[y]], "y string, f array<double>")
+    rows = [(k, rng.normal(centre["NV"[i % 4 == 0]], 0.8).tolist()) for k in range(4) for i in range(30)]
+    bags = spark.createDataFrame(rows, "k int, f array<double>")
+    blocks, results, stage = [], [], iterative.stage
+    monkeypatch.setattr(iterative, "stage", lambda df, name: blocks.append(name) or stage(df, name))
+    for limit, part in ((10**9, 1e-5), (1000, 1e-4), (1000, 0.0)):
+        monkeypatch.setattr(iterative, "SERIES_ROWS", limit, raising=False)
+        monkeypatch.setattr(iterative, "LAST_PART", part, raising=False)
+        results.append({(r["k"], r["label"]): r["p_pred"] for r in iterative.energy_distance(train, bags, ["k"], "f").collect()})
+    assert blocks.count("series-distances") == 2
+    assert results[1].keys() == results[0].keys() == results[2].keys()
+    assert max(abs(results[1][k] - results[0][k]) for k in results[0]) < 5e-5  # by series, 3,000 rows a class
+    assert results[1] != results[0]
+    assert max(abs(results[2][k] - results[0][k]) for k in results[0]) < 1e-9  # a series that isn't close enough isn't used
