@@ -16,9 +16,9 @@ import numpy as np
 #: Highest power of the cosine.
 DEGREE = 4
 #: Radii between which coefficients are interpolated: of the polynomials up to the second, and of the others, which count little.
-NODES = (10, 5)
+NODES = (8, 4)
 #: Cosines at which a distance is read to get its coefficients.
-COSINES = 16
+COSINES = 12
 #: Least and greatest width of vectors: fewer dimensions have no such series, more need sums that are too large.
 WIDTHS = (3, 32)
 #: By what factor another centre is nearer to a vector that strays.

@@ -304,7 +304,7 @@ def _to_classes(points: list[tuple[np.ndarray, np.ndarray]]):
         for batch in batches:
             if len(batch):
                 d = distance_sums(_vectors(batch.column("x")), points)
-                yield pa.RecordBatch.from_arrays([batch.column("x"), *map(pa.array, d.T)], ["x", *(f"d{i}" for i in range(len(points)))])
+                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("g"), *map(pa.array, d.T)], ["h", "g", *(f"d{i}" for i in range(len(points)))])
 
     return run
 
@@ -421,11 +421,16 @@ def _series_to_classes(series: dict[int, Series]):
             if len(batch):
                 x = _vectors(batch.column("x"))
                 d = sum(s.distances(x) for s in series.values())
-                yield pa.RecordBatch.from_pydict({"x": batch.column("x"), "w": batch.column("w")} | {f"{name}{i}": d[at, i] for i in series for at, name in enumerate("dl")})
+                yield pa.RecordBatch.from_pydict({name: batch.column(name) for name in "hgw"} | {f"{name}{i}": d[at, i] for i in series for at, name in enumerate("dl")})
 
     return run
 
 
+def _for_all_tasks(written: DataFrame, tasks: int) -> DataFrame:
+    """A small table in as many parts as there are tasks; a large one has them anyway."""
+    return written if written.rdd.getNumPartitions() >= written.sparkSession.sparkContext.defaultParallelism else stage(written.repartition(tasks), "spread-vectors")
+
+
 def energy_distance(train: DataFrame, bags: DataFrame, keys: list[str], features: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """Class shares whose mixture has least energy distance to the bag.
 
@@ -443,9 +448,11 @@ def energy_distance(train: DataFrame, bags: DataFrame, keys: list[str], features
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     rows = train.where(F.col("y").isin(*labels) & F.col(features).isNotNull())
     counted = rows.groupBy(index.alias("c"), vector.alias("x")).agg(F.count("*").cast("double").alias("w"))
-    trained = stage(counted.repartition(tasks), "train-vectors")
-    asked = stage(bags.where(F.col(features).isNotNull()).groupBy(*keys, vector.alias("x")).agg(F.count("*").alias("n")), "bag-vectors")
-    units = stage(asked.groupBy("x").agg(F.sum("n").cast("double").alias("w")).repartition(tasks), "test-vectors")
+    trained = _for_all_tasks(stage(counted, "train-vectors"), tasks)
+    name = [F.xxhash64("x").alias("h"), F.xxhash64(F.lit(1), "x").alias("g")]  # 128 bits that stand for a vector in joins
+    given = bags.where(F.col(features).isNotNull()).select(*keys, vector.alias("x"))
+    asked = given.select(*keys, *name).groupBy(*keys, "h", "g").agg(F.count("*").alias("n"))
+    units = _for_all_tasks(stage(given.groupBy("x").agg(F.count("*").cast("double").alias("w")).select(*name, "x", "w"), "test-vectors"), tasks)
     n = np.zeros(k)
     for r in trained.groupBy("c").agg(F.sum("w").alias("n")).collect():
         n[r["c"]] = r["n"]
@@ -463,13 +470,13 @@ def energy_distance(train: DataFrame, bags: DataFrame, keys: list[str], features
             i, j = r["c"], r["other"]
             sums[i, j] = sums[j, i] = r["s"]
             squares[i, j], last[i, j] = r["squares"], r["last"]
-        far = stage(units.mapInArrow(_series_to_classes(series), ", ".join(["x array<double>, w double", *(f"d{i} double, l{i} double" for i in series)])), "series-distances")
+        far = stage(units.mapInArrow(_series_to_classes(series), ", ".join(["h long, g long, w double", *(f"d{i} double, l{i} double" for i in series)])), "series-distances")
         of = far.agg(*(F.coalesce(F.sum(F.col("w") * F.col(f"{name}{i}") ** 2), F.lit(0.0)).alias(f"{name}{i}") for i in series for name in "dl")).first()
         loose = lambda part, whole: part > LAST_PART**2 * whole
         kept = [i for i in series if not loose(of[f"l{i}"], of[f"d{i}"]) and not loose(last[:, i], squares[:, i]).any()]
         dropped = [i for i in range(k) if i not in kept]
         sums[dropped] = sums[:, dropped] = 0
-        far = far.select("x", *(F.col(f"d{i}") if i in kept else F.lit(0.0).alias(f"d{i}") for i in range(k))) if kept else None
+        far = far.select("h", "g", *(F.col(f"d{i}") if i in kept else F.lit(0.0).alias(f"d{i}") for i in range(k))) if kept else None
         paired = paired | ~F.col("c").isin(*kept)
     else:
         paired = F.lit(True)
@@ -483,7 +490,7 @@ def energy_distance(train: DataFrame, bags: DataFrame, keys: list[str], features
         seen = trained.where(part <= at).withColumn("below", part < at).mapInArrow(_between_classes(points), "c int, other int, s double")
         for r in seen.groupBy("c", "other").agg(F.sum("s").alias("s")).collect():
             sums[r["c"], r["other"]] += r["s"]
-        away = stage(units.mapInArrow(_to_classes(points), ", ".join(["x array<double>", *(f"d{i} double" for i in range(k))])), "distances")
+        away = stage(units.mapInArrow(_to_classes(points), ", ".join(["h long, g long", *(f"d{i} double" for i in range(k))])), "distances")
         far = away if far is None else far.unionByName(away)
     between = sums / np.maximum(np.outer(n, n) - np.diag(n), 1)
     held = np.flatnonzero(n)
@@ -494,6 +501,6 @@ def energy_distance(train: DataFrame, bags: DataFrame, keys: list[str], features
             p[:, held] = solvers.energy_shares(between[np.ix_(held, held)], q[:, held])
         return p
 
-    total = far.groupBy("x").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(k)))
+    total = far.groupBy("h", "g").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(k)))
     mean = F.array(*(F.sum(F.col("n") * F.col(f"d{i}")) / F.sum("n") / F.lit(float(max(n[i], 1))) for i in range(k)))
-    return solved_means(asked.join(total, "x").groupBy(*keys).agg(mean.alias("q")), keys, solve, labels)
+    return solved_means(asked.join(total, ["h", "g"]).groupBy(*keys).agg(mean.alias("q")), keys, solve, labels)
